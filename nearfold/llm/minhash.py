@@ -157,7 +157,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (3, 5), bands: int = 32, rows: int = 4, seed: int = 20240229) -> DataFrame:
-    """Groups of near-copies: a row (doc_id, group_id, kept) for each distinct doc_id of ``docs(doc_id, text)``.
+    """Groups of near-copies: a row (doc_id, group_id, kept) for each member of a group of two documents or more.
 
     Two documents are near-copies if the sets of their word n-shingles have a Jaccard similarity of ``threshold`` (a
     fraction, numerator and denominator) or more; groups are the components of that relation among pairs that share one
@@ -165,10 +165,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (3
     0.7 with 0.9998, and most groups hang together by several pairs.  group_id is the group's least doc_id, and that
     document is kept.
 
-    Defined results: a null or blank text has no shingles, so it is alone in its group and kept; a text shorter than n
-    words is one shingle; rows that share a doc_id count as one document, whose copies are those of any of its rows;
-    rows with a null doc_id can't be named in the result and are left out of it; other columns are ignored; an empty
-    table gives an empty result.
+    Defined results for ``docs(doc_id, text)``: a document without a near-copy is in no row; a null or blank text has no
+    shingles, so it has no copies; a text shorter than n words is one shingle; rows that share a doc_id count as one
+    document, whose copies are those of any of its rows; rows with a null doc_id can't be named and are in no group;
+    other columns are ignored; an empty table gives an empty result.
     """
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     signed = signatures(docs, n, bands, rows, seed).withColumn("rep", least)
@@ -205,9 +205,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (3
     more = verify(rest, docs, n, threshold)
     copies = signed.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     groups = connected_components(found.union(more).union(copies))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    group = F.coalesce("label", "doc_id")
-    return ids.join(groups, ids.doc_id == groups.node, "left").select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("kept"))
+    return groups.select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"), (F.col("node") == F.col("label")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:

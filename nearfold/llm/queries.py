@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import minhash
+from nearfold.llm import bpe, decontaminate, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 #: Brute force: all pairs that share a shingle, their Jaccard similarity, and the components by recursion.
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -34,11 +42,14 @@ WITH RECURSIVE w AS (
   SELECT DISTINCT doc_id AS node, doc_id AS label FROM documents WHERE doc_id IS NOT NULL
   UNION SELECT e.b, r.label FROM reach r JOIN edges e ON e.a = r.node AND e.b > r.label
 )
-SELECT node AS doc_id, min(label) AS group_id, min(label) = node AS kept FROM reach GROUP BY node
+SELECT doc_id, group_id, doc_id = group_id AS kept FROM (SELECT node AS doc_id, min(label) AS group_id FROM reach GROUP BY node)
+QUALIFY count(*) OVER (PARTITION BY group_id) > 1
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_leaks": op2_leaks,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
