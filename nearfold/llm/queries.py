@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import bpe, decontaminate, minhash, quality
+from nearfold.llm import bpe, decontaminate, minhash, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.accepted(docs).select("doc_id", "lang", "source", "n_chars", "distance")
@@ -54,6 +58,7 @@ QUALIFY count(*) OVER (PARTITION BY group_id) > 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_leaks": op2_leaks,
+    "op7_private_data": op7_private_data,
     "op8_quality_kept": op8_quality_kept,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
