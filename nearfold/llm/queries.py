@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import bpe, decontaminate, minhash, pii, quality
+from nearfold.llm import bpe, brown, decontaminate, minhash, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_brown_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 #: Brute force: all pairs that share a shingle, their Jaccard similarity, and the components by recursion.
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_private_data": op7_private_data,
     "op8_quality_kept": op8_quality_kept,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_brown_perplexity": op10_brown_perplexity,
 }
 
 ORACLE_SQL: dict[str, str] = {
