@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )
+
+
+def with_leader(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``."""
+    of_bucket = Window.partitionBy("bucket")
+    both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
+    return both.where("leader != last").select("bucket", "node", "leader")
+
+
+def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) with the same components as all pairs (a, b) of nodes that share a bucket and that ``verify`` keeps.
+
+    members: (bucket, node, leader), of buckets with more than one node.  Each node is checked against its bucket's leader,
+    which is linear.  Every pair of a bucket whose nodes aren't in one component by then is checked as well; a pair within
+    a component can't change the components.  No bucket or pair is left out.
+    """
+    members = cut(members)
+    star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    found = cut(verify(star))
+    labels = connected_components(found).withColumnRenamed("node", "named")
+    of_bucket = Window.partitionBy("bucket")
+    apart = (
+        members.join(labels, members.node == labels.named, "left")
+        .select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
+        .withColumn("lo", F.min("label").over(of_bucket))
+        .withColumn("hi", F.max("label").over(of_bucket))
+        .where("lo != hi AND node != leader")
+        .select("bucket", "node", "label")
+        .distinct()
+    )
+    apart = cut(apart)
+    p, q = apart.alias("p"), apart.alias("q")
+    rest = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")))
+    return found.union(cut(verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.llm import textkernel as tk
-from nearfold.llm.frames import connected_components, cut, keep_candidates
+from nearfold.llm.frames import connected_components, cut, keep_candidates, verified_edges, with_leader
 
 UNIVERSE = 1 << 20
 SIGNATURE_SCHEMA = "doc_id long, h1 long, h2 long, bands array<long>"
@@ -173,38 +173,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (3
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     signed = signatures(docs, n, bands, rows, seed).withColumn("rep", least)
     signed = cut(signed.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
-    of_band = Window.partitionBy("bucket")
-    members = (
-        signed.where("doc_id = rep")
-        .select(F.explode("bands").alias("bucket"), "doc_id")
-        .withColumn("leader", F.min("doc_id").over(of_band))
-        .withColumn("last", F.max("doc_id").over(of_band))
-        .where("leader != last")
-        .select("bucket", "doc_id", "leader")
-    )
-    members = cut(members)
-    star = members.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = cut(verify(star, docs, n, threshold))
-    labels = cut(connected_components(found))
-    named = (
-        members.join(labels, members.doc_id == labels.node, "left")
-        .select("bucket", "doc_id", "leader", F.coalesce("label", "doc_id").alias("label"))
-        .withColumn("lo", F.min("label").over(of_band))
-        .withColumn("hi", F.max("label").over(of_band))
-        .where("lo != hi AND doc_id != leader")
-        .select("bucket", "doc_id", "label")
-        .distinct()
-    )
-    named = cut(named)
-    rest = (
-        named.alias("p")
-        .join(named.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.label") != F.col("q.label")))
-        .select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        .distinct()
-    )
-    more = verify(rest, docs, n, threshold)
+    members = with_leader(signed.where("doc_id = rep").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")))
+    found = verified_edges(members, lambda pairs: verify(pairs, docs, n, threshold))
     copies = signed.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(found.union(more).union(copies))
+    groups = connected_components(found.union(copies))
     return groups.select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"), (F.col("node") == F.col("label")).alias("kept"))
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import bpe, brown, decontaminate, minhash, pii, quality
+from nearfold.llm import bpe, brown, decontaminate, minhash, passages, pii, quality
+from nearfold.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +23,10 @@ def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +68,7 @@ QUALIFY count(*) OVER (PARTITION BY group_id) > 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_leaks": op2_leaks,
+    "op5_repeated_passages": op5_repeated_passages,
     "op7_private_data": op7_private_data,
     "op8_quality_kept": op8_quality_kept,
     "op9_bpe_round_trip": op9_bpe_round_trip,
