@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import bpe, brown, decontaminate, minhash, passages, pii, quality
+from nearfold.llm import bpe, brown, decontaminate, keyed, minhash, passages, pii, quality, shuffled, warc
 from nearfold.session import ship
 
 
@@ -23,10 +23,31 @@ def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.write_shards(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write_archives(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "url", "warc_type", "payload_digest", "n_bytes", "original_page_id", "original_url")
+
+
+OP4_SQL = """
+WITH c AS (SELECT DISTINCT page_id, url, sha1(html) AS payload_digest, strlen(html) AS n_bytes FROM pages WHERE html IS NOT NULL),
+f AS (SELECT *, first_value(page_id) OVER w AS original_page_id, first_value(url) OVER w AS original_url, row_number() OVER w AS nth FROM c
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, url, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS warc_type, payload_digest, n_bytes, original_page_id, original_url FROM f
+"""
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
 
 
+def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffled.shuffle(table(spark, sf_dir, "documents"))
+
+
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,7 +89,10 @@ QUALIFY count(*) OVER (PARTITION BY group_id) > 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_leaks": op2_leaks,
+    "op3_keyed_ids": op3_keyed_ids,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_repeated_passages": op5_repeated_passages,
+    "op6_shuffled_shards": op6_shuffled_shards,
     "op7_private_data": op7_private_data,
     "op8_quality_kept": op8_quality_kept,
     "op9_bpe_round_trip": op9_bpe_round_trip,
@@ -77,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": OP1_SQL,
+    "op4_warc_revisits": OP4_SQL,
 }
