@@ -37,7 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/nearfold-{what}-{uuid.uuid4().hex}"
+    """A folder's name in the shared folder; it begins with the application's, so that ``sweep`` finds it."""
+    return f"{shared_dir(spark).rstrip('/')}/nearfold-{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """As ``cut``, but as Parquet, for many or wide rows: compressed, and read column by column."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder under new_folder; results that read it are then void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/nearfold-{spark.sparkContext.applicationId}-*")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), True)
 
 
 class IdFilter:

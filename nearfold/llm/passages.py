@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.llm import textkernel as tk
-from nearfold.llm.frames import connected_components, cut, keep_candidates, verified_edges, with_leader
+from nearfold.llm.frames import connected_components, cut, keep_candidates, stored, verified_edges, with_leader
 from nearfold.llm.minhash import jaccard_counts
 
 BLOCK, REACH, GRAM, SHINGLE = 24, 26, 4, 3
@@ -191,13 +191,13 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = (7, 10), seed: int =
     # The group's one block carries its bands on; the name of a group is its first hash.
     bands = F.when(spot == F.col("least"), F.array(*[f"b{k}" for k in range(BANDS)]))
     found = found.select(F.col("h1").alias("node"), "doc_id", "start", "docs", bands.alias("bands"))
-    folder_rows = cut(found)
-    heads = folder_rows.where("bands IS NOT NULL")
+    found = stored(found, "blocks")
+    heads = found.where("bands IS NOT NULL")
     members = with_leader(heads.select(F.explode("bands").alias("bucket"), "node").where("bucket IS NOT NULL"))
     places = heads.select("node", "doc_id", "start").distinct()
     near = verified_edges(members, lambda pairs: verify(pairs, places, docs, threshold))
     labels = cut(connected_components(near))
-    several = folder_rows.where("docs = 1").select("node", "doc_id", "start").union(folder_rows.where("docs = 0").select("node", "doc_id", "start").join(labels.select("node"), "node", "left_semi"))
+    several = found.where("docs = 1").select("node", "doc_id", "start").union(found.where("docs = 0").select("node", "doc_id", "start").join(labels.select("node"), "node", "left_semi"))
     grouped = several.join(labels, "node", "left").select(F.coalesce("label", "node").alias("component"), "doc_id", "start").distinct()
     of_component = Window.partitionBy("component")
     removals = (
