@@ -30,6 +30,8 @@ from nearfold.llm import textkernel as tk
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words that a worker remembers the ids of; when there are more it forgets them and goes on.
 REMEMBERED = 300_000
+#: Bytes of new words whose pairs are indexed together.
+INDEXED = 2 << 20
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -154,9 +156,9 @@ class Codec:
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging each pair, or the vocabulary's size if it doesn't merge."""
-        key = a * self.size + b
-        spot = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[spot] == key) & (a >= 0) & (b >= 0), self.rank[spot], self.size)
+        key = a.astype(np.int64) * self.size + b
+        spot = np.searchsorted(self.pair[:-1], key)
+        return np.where((self.pair[spot] == key) & (a >= 0) & (b >= 0), self.rank[spot], self.size).astype(np.int32)
 
     def merge(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words that lie in ``data`` one after another, and how many each one has."""
@@ -164,16 +166,18 @@ class Codec:
         # A separator before every word and one at the end: neighbours always exist and never merge.
         n = len(data) + words + 1
         begin = np.cumsum(length + 1) - length - 1
-        sym = np.full(n, -1, np.int64)
+        sym = np.full(n, -1, np.int32)
         inner = np.ones(n, bool)
         inner[begin] = False
         inner[n - 1] = False
         sym[inner] = self.byte_id[data]
-        word = np.repeat(np.arange(words + 1), np.concatenate([length + 1, [1]]))
-        after, prior = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(words + 1, dtype=np.int32), np.concatenate([length + 1, [1]]))
+        after, prior = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         none = self.size
-        rank = np.full(n, none, np.int64)
-        rank[:-1] = self.lookup(sym[:-1], sym[1:])
+        rank = np.full(n, none, np.int32)
+        for lo in range(0, n - 1, tk.CHUNK):
+            hi = min(lo + tk.CHUNK, n - 1)
+            rank[lo:hi] = self.lookup(sym[lo:hi], sym[lo + 1 : hi + 1])
         order = np.argsort(rank, kind="stable")
         order = order[: np.searchsorted(rank[order], none)]
         active, at = np.unique(rank[order], return_index=True)
@@ -226,31 +230,58 @@ class Codec:
                         index[k] = [part]
                         heapq.heappush(heap, k)
         kept = sym >= 0
-        return sym[kept].astype(np.int32), np.bincount(word[kept], minlength=words)[:words]
+        return sym[kept], np.bincount(word[kept], minlength=words)[:words]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts that lie in ``data`` one after another, and the n + 1 offsets of each text's ids."""
+    def encode_parts(self, data: np.ndarray, offsets: np.ndarray, size: int = 4 * tk.CHUNK):
+        """For slices of texts that lie in ``data`` one after another: (first, last + 1, ids, offsets of each text's ids).
+
+        All slices are split into pre-tokens first, so that the pairs of all their new words are indexed together.
+        """
         if len(self.known) > REMEMBERED:
             self.forget()
-        begins = [pretokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) + offsets[a] for a, b in tk.chunks(offsets)]
-        begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-        edges = np.concatenate([begin, [len(data)]]).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        found = pc.index_in(coded.dictionary, value_set=self.known)
-        fresh = found.is_null()
-        number = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        spans, firsts, tokens = [], [], []
+        for a, b in tk.chunks(offsets, size):
+            piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            begin = np.concatenate([pretokens(piece[own[x] : own[y]], own[x : y + 1] - own[x]) + own[x] for x, y in tk.chunks(own)])
+            edges = np.append(begin, len(piece)).astype(np.int32 if len(piece) < 1 << 31 else np.int64)
+            tokens.append(pa.Array.from_buffers(pa.binary() if edges.itemsize == 4 else pa.large_binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(piece)]))
+            spans.append((a, b))
+            firsts.append(np.searchsorted(begin, own))
+        if not spans:
+            return
+        if len({t.type for t in tokens}) > 1:
+            tokens = [t.cast(pa.large_binary()) for t in tokens]
+        coded = pa.chunked_array(tokens).dictionary_encode()
+        words = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.large_binary())
+        indices = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+        del tokens, coded
+        found = pc.index_in(words, value_set=self.known)
+        number = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
         if found.null_count:
-            new = coded.dictionary.filter(fresh)
-            spelled, ends = tk.text_buffer(new)
-            ids, count = self.merge(spelled, np.diff(ends))
+            fresh = found.is_null()
+            new = words.filter(fresh)
             number[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            spelled, ends = tk.text_buffer(new)
+            for a, b in tk.chunks(ends, INDEXED):
+                ids, count = self.merge(spelled[ends[a] : ends[b]], np.diff(ends[a : b + 1]))
+                self.flat = np.concatenate([self.flat, ids])
+                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
             self.known = pa.concat_arrays([self.known, new])
-            self.flat = np.concatenate([self.flat, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
-        number = number[coded.indices.to_numpy(zero_copy_only=False)]
-        length = self.at[number + 1] - self.at[number]
-        reach = np.concatenate([[0], np.cumsum(length)])
-        return self.flat[ragged(self.at[number], length)], reach[np.searchsorted(begin, offsets)]
+        for k, ((a, b), first) in enumerate(zip(spans, firsts)):
+            own = number[indices[k]]
+            indices[k] = None
+            length = self.at[own + 1] - self.at[own]
+            reach = np.concatenate([[0], np.cumsum(length)])
+            yield a, b, self.flat[ragged(self.at[own], length)], reach[first]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the n + 1 offsets of each text's ids."""
+        parts = list(self.encode_parts(data, offsets))
+        ends, total = [np.zeros(1, np.int64)], 0
+        for _, _, ids, own in parts:
+            ends.append(total + own[1:])
+            total += len(ids)
+        return np.concatenate([np.zeros(0, np.int32), *(p[2] for p in parts)]), np.concatenate(ends)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids, and the offsets of each text's bytes."""
@@ -265,13 +296,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def rows_of(batch: pa.RecordBatch, column: str, size: int = 8 * tk.CHUNK):
-    """The batch in slices of about ``size`` bytes of text, with their bytes and offsets."""
-    data, offsets = tk.text_buffer(batch.column(column))
-    for a, b in tk.chunks(offsets, size):
-        yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-
-
 def _lists(ids: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(missing))
 
@@ -290,8 +314,8 @@ def encode(df: DataFrame, column: str = "text", into: str = "ids", path: str = V
         own = codec(path)
         for batch in batches:
             if batch.num_rows:
-                for part, data, offsets in rows_of(batch, column):
-                    ids, ends = own.encode(data, offsets)
+                for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column(column))):
+                    part = batch.slice(a, b - a)
                     lists = _lists(ids, ends, part.column(column).is_null().to_numpy(zero_copy_only=False))
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), lists], names=names)
 

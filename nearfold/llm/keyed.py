@@ -120,8 +120,8 @@ def payloads(docs: DataFrame, path: str) -> DataFrame:
         kind = np.dtype("<u2") if own.size <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             if batch.num_rows:
-                for part, data, offsets in bpe.rows_of(batch, "text", 4 * tk.CHUNK):
-                    ids, ends = own.encode(data, offsets)
+                for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column("text"))):
+                    part = batch.slice(a, b - a)
                     raw = ids.astype(kind)
                     packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(raw)])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], names=["doc_id", "ids"])
