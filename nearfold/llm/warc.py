@@ -86,13 +86,14 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     captures = pages.where("html IS NOT NULL").select("page_id", "url", digest, "html")
     headers = captures.select("page_id", "url", "payload_digest", F.octet_length("html").cast("long").alias("n_bytes"), F.lit(False).alias("is_revisit"))
     decided = resolve(headers)
-    d, c = decided.alias("d"), captures.alias("c")
-    same = (F.col("d.payload_digest") == F.col("c.payload_digest")) & F.col("d.page_id").eqNullSafe(F.col("c.page_id")) & F.col("d.url").eqNullSafe(F.col("c.url"))
-    # Only originals need their payloads; of equal rows one is taken, on the join's own partitioning.
-    body = F.when(F.col("warc_type") == "response", F.col("c.html"))
-    joined = d.join(c, same).select("d.*", body.alias("html"))
-    numbered = Window.partitionBy("payload_digest", "page_id", "url").orderBy(F.lit(0))
-    records = joined.withColumn("nth", F.row_number().over(numbered)).where("nth = 1").drop("nth").sortWithinPartitions("page_id", "url", "payload_digest")
+    # One text key, never null, so that the join and what follows it share a partitioning: payloads move once.
+    ident = F.to_json(F.struct("page_id", "url"))
+    keyed = captures.select("payload_digest", ident.alias("ident"), "html")
+    joined = decided.withColumn("ident", ident).join(keyed, ["payload_digest", "ident"])
+    # Of equal rows one is taken; only originals need their payloads from here on.
+    numbered = Window.partitionBy("payload_digest", "ident").orderBy(F.lit(0))
+    body = F.when(F.col("warc_type") == "response", F.col("html"))
+    records = joined.withColumn("nth", F.row_number().over(numbered)).where("nth = 1").withColumn("html", body).drop("nth", "ident").sortWithinPartitions("page_id", "url", "payload_digest")
 
     def run(batches):
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
