@@ -80,7 +80,7 @@ def core(span: str) -> tuple[int, int]:
 FEATURES = (
     "bias", "length 2", "length 3", "length 4", "email", "ip", "ip octets", "phone", "card", "card luhn", "key", "secret",
     "secret mixed", "iban", "ssn", "date", "hex", "no digits", "digits 1-4", "digits 5-9", "digits 10-12", "digits 13+",
-    "at sign", "equals", "full match of some kind", "letters only at an end", "dots", "part of a match",
+    "at sign", "equals", "full match of some kind", "no full match", "letters only at an end", "dots", "part of a match",
 )
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -128,8 +128,10 @@ def features(span: str, words: int) -> tuple[int, ...]:
         out.append("equals")
     if matched:
         out.append("full match of some kind")
-    elif any(p.search(s) for p in (_EMAIL, _IP, _PHONE, _CARD, _KEY, _SECRET)):
-        out.append("part of a match")
+    else:
+        out.append("no full match")
+        if any(p.search(s) for p in (_EMAIL, _IP, _PHONE, _CARD, _KEY, _SECRET)):
+            out.append("part of a match")
     ends = s.split(" ")
     if words > 1 and (ends[0].isalpha() and "=" not in ends[min(1, len(ends) - 1)] or ends[-1].isalpha()):
         out.append("letters only at an end")
@@ -269,6 +271,9 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
         lambda: f"version {rng.randint(1, 9)}.", lambda: f"CC BY-NC {rng.randint(1, 4)}.0.", lambda: digits(rng.randint(1, 9)), lambda: f"${digits(3)},{digits(3)}.{digits(2)}",
         lambda: f"x={rng.randint(0, 9)}", lambda: f"{word()} = {rng.randint(0, 99)}", lambda: f"{word()}={word()}", lambda: f"@{word()}", lambda: f"{rng.randint(1, 12)}:{digits(2)}", lambda: f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/20{digits(2)}",
         lambda: f"{rng.randint(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"token {word()}", lambda: f"{digits(2)}%", lambda: f"{word()}{digits(2)}", lambda: f"No. {digits(5)}",
+        lambda: " ".join(f"{word()}{digits(rng.randint(1, 4))}" for _ in range(rng.randint(1, 4))), lambda: " ".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 4))),
+        lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: f"{digits(2)} {word()} {digits(3)}", lambda: f"{digits(5)}{word()}", lambda: f"{word()}-{digits(4)}-{word()}", lambda: f"https://{word()}.org/{word()}?id={digits(3)}",
+        lambda: " ".join(f"{rng.randint(0, 99)}.{digits(2)}" for _ in range(rng.randint(1, 4))), lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"a@b {digits(2)}", lambda: f"ISBN {digits(3)}-{digits(1)}",
     ]
     out = []
     for _ in range(n):
@@ -290,7 +295,7 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
 
 
 @functools.lru_cache(maxsize=2)
-def trained(n: int = 500, epochs: int = 5, seed: int = 20041213) -> Model:
+def trained(n: int = 700, epochs: int = 5, seed: int = 20041213) -> Model:
     """The model after ``epochs`` of adaptive gradient steps on ``n`` generated sequences; the same for equal arguments."""
     k = len(KINDS)
     model = Model(np.zeros((k, len(FEATURES))), np.zeros((k + 1, k)))
