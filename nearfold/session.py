@@ -8,15 +8,20 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch where the session sets no limit: rows alone would let a batch of long texts grow at will.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's code to the executors, once for each Spark application.
+    """Send the package's code to the executors, once for each Spark application, and bound Arrow batches by bytes.
 
     Functions that run in Python workers are pickled by reference, so the workers must be able to import the package
     wherever they run and whatever the driver's working directory is.
     """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
