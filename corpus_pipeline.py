@@ -40,9 +40,9 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts, and the text that the ids stand for; see bpe.encode and bpe.decode."""
+    """The documents with the ids of their texts, and the text that the ids stand for; see bpe.encode_and_decode."""
     ship(spark)
-    return bpe.decode(bpe.encode(docs, "text", "ids"), "ids", "decoded")
+    return bpe.encode_and_decode(docs)
 
 
 STAGES = [

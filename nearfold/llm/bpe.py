@@ -296,6 +296,28 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+#: Bytes of rows that are encoded together, whatever the size of the batches they come in.
+TOGETHER = 32 << 20
+
+
+def together(batches, size: int = TOGETHER):
+    """The rows of small batches in batches of about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.nbytes
+            if total >= size:
+                yield _one(held)
+                held, total = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _lists(ids: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(missing))
 
@@ -312,16 +334,25 @@ def encode(df: DataFrame, column: str = "text", into: str = "ids", path: str = V
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
-            if batch.num_rows:
-                for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column(column))):
-                    part = batch.slice(a, b - a)
-                    lists = _lists(ids, ends, part.column(column).is_null().to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), lists], names=names)
+        for batch in together(batches):
+            for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column(column))):
+                part = batch.slice(a, b - a)
+                lists = _lists(ids, ends, part.column(column).is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), lists], names=names)
 
     return df.select(*[f"`{f.name}`" for f in others]).mapInArrow(run, schema)
 
 
+def _texts(data: np.ndarray, ends: np.ndarray, missing: np.ndarray) -> pa.Array:
+    raw = pa.Array.from_buffers(pa.large_binary(), len(missing), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    try:
+        text = raw.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        text = pa.array([w.decode("utf-8", "replace") for w in raw.to_pylist()], pa.large_string())
+    text = text.cast(pa.string())
+    return pc.if_else(pa.array(missing), pa.scalar(None, pa.string()), text) if missing.any() else text
+
+
 def decode(df: DataFrame, column: str = "ids", into: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """``df`` with the text that the ids of ``column`` stand for as ``into`` (an existing one of that name is replaced).
 
@@ -341,20 +372,34 @@ def decode(df: DataFrame, column: str = "ids", into: str = "decoded", path: str
                 length = np.where(missing, 0, np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 data, ends = own.decode(ids, np.concatenate([[0], np.cumsum(length)]))
-                raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                try:
-                    text = raw.cast(pa.large_string())
-                except pa.ArrowInvalid:
-                    text = pa.array([w.decode("utf-8", "replace") for w in raw.to_pylist()], pa.large_string())
-                text = pa.array(text.cast(pa.string()))
-                if missing.any():
-                    text = pc.if_else(pa.array(missing), pa.scalar(None, pa.string()), text)
+                text = _texts(data, ends, missing)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), text], names=names)
 
     return df.select(*[f"`{f.name}`" for f in others]).mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, column: str = "text", ids: str = "ids", decoded: str = "decoded", path: str = VOCABULARY) -> DataFrame:
+    """``decode(encode(df))`` in one pass of one worker: the texts' ids, and the texts that these stand for.
+
+    Results are defined as those of encode and decode; existing columns of the new names are replaced.
+    """
+    others = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    schema = T.StructType([*others, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        own = codec(path)
+        for batch in together(batches):
+            for a, b, made, ends in own.encode_parts(*tk.text_buffer(batch.column(column))):
+                part = batch.slice(a, b - a)
+                missing = part.column(column).is_null().to_numpy(zero_copy_only=False)
+                columns = [*(part.column(n) for n in names[:-2]), _lists(made, ends, missing), _texts(*own.decode(made, ends), missing)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.select(*[f"`{f.name}`" for f in others]).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids, n_ids and the text decoded from them, for every row of ``docs(doc_id, text)``."""
-    coded = encode(docs.select("doc_id", "text"), "text", "ids", path).select("doc_id", "ids", F.size("ids").alias("n_ids"))
-    return decode(coded, "ids", "decoded", path).withColumn("n_ids", F.when(F.col("ids").isNotNull(), F.col("n_ids")))
+    done = encode_and_decode(docs.select("doc_id", "text"), path=path)
+    return done.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "decoded")

@@ -118,13 +118,11 @@ def payloads(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         own = bpe.codec(path)
         kind = np.dtype("<u2") if own.size <= 1 << 16 else np.dtype("<u4")
-        for batch in batches:
-            if batch.num_rows:
-                for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column("text"))):
-                    part = batch.slice(a, b - a)
-                    raw = ids.astype(kind)
-                    packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], names=["doc_id", "ids"])
+        for batch in bpe.together(batches):
+            for a, b, ids, ends in own.encode_parts(*tk.text_buffer(batch.column("text"))):
+                raw = ids.astype(kind)
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), packed], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, ids binary")
 
