@@ -281,7 +281,9 @@ def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From payload to decision, exactly; orders whose times can't be read are approved with 0.0."""
     references = seed_labels(spark, sf_dir)
     q = vectorize(payloads(spark, sf_dir).where("q_id % 50 = 0 OR q_id % 97 = 0"), CONFIG, risks(spark), "vector")
-    votes = scoring.vote(knn.exact_knn(q.where("vector IS NOT NULL").select("q_id", "vector"), references, K))
+    ship(spark)
+    found = knn.exact_knn(q.where("vector IS NOT NULL").select("q_id", "vector"), references, K, strategy="blocks")
+    votes = scoring.vote(found)
     return scoring.decide(q.select("q_id"), votes)
 
 
@@ -298,14 +300,14 @@ def engine_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON requests through the engine: every third is cut off and gets the safe default."""
     references = seed_labels(spark, sf_dir)
     made = ivf.build(references, kmeans.evenly_spaced(references, PARTS), 14)
-    p = payloads(spark, sf_dir).where("q_id % 50 = 0")
+    p = payloads(spark, sf_dir).where("q_id % 250 = 0")
     text = F.to_json(F.struct(*[c for c in p.columns if c != "q_id"]))
     requests = p.select("q_id", F.when(F.col("q_id") % 3 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"))
     return Engine(made, CONFIG, risks(spark), K, PARTS).respond(requests)
 
 
 ENGINE_SQL = f"""WITH {PAYLOADS_SQL}, {ORDER_VECTORS_SQL},
-q AS (SELECT q_id, ok AND q_id % 3 <> 0 AS ok, {levels_sql('v')} AS v FROM f WHERE q_id % 50 = 0),
+q AS (SELECT q_id, ok AND q_id % 3 <> 0 AS ok, {levels_sql('v')} AS v FROM f WHERE q_id % 250 = 0),
 r AS (SELECT q_id AS vec_id, {levels_sql('v')} AS v, CASE WHEN o_orderpriority LIKE '1%' THEN 'fraud' ELSE 'legit' END AS label FROM f JOIN orders ON o_orderkey = q_id WHERE ok AND q_id % 10 = 3),
 x AS (SELECT q.q_id, vec_id, label, {dist_sql('q.v', 'r.v').replace('65', '15')} AS distance FROM q CROSS JOIN r WHERE q.ok),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, vec_id) AS rank FROM x) WHERE rank <= 5), s AS ({vote_sql('t')})
