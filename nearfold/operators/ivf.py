@@ -10,12 +10,14 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import expressions as X
 from nearfold.operators import kmeans
-from nearfold.operators.knn import check_k, sent, top_k
+from nearfold.operators.knn import SENT_BYTES, check_k, sent, top_k
 from nearfold.operators.scoring import running_offsets
 
 PROBES = 8
@@ -111,6 +113,16 @@ def probe(queries: DataFrame, index: Index, probes: int = 0) -> DataFrame:
     return top_k(pairs, probe_count(probes), order=("distance", "part_id"))
 
 
+def _chosen(queries: DataFrame, index: Index, probes: int, expand_to: int) -> DataFrame:
+    """(q_id, part_id): the partitions that each query searches; see candidates."""
+    chosen = probe(queries, index, index.partition_count() if expand_to else probes)
+    if expand_to:
+        w = Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        sized = chosen.join(F.broadcast(index.centroids.select("part_id", "cnt")), "part_id")
+        chosen = sized.withColumn("__b", F.coalesce(F.sum("cnt").over(w), F.lit(0))).where((F.col("rank") <= probe_count(probes)) | (F.col("__b") < expand_to))
+    return chosen.select("q_id", "part_id")
+
+
 def candidates(queries: DataFrame, index: Index, probes: int = 0, expand_to: int = 0) -> DataFrame:
     """(q_id, vec_id, label, levels, distance) of all vectors in the probed partitions, by quantized distance.
 
@@ -118,25 +130,66 @@ def candidates(queries: DataFrame, index: Index, probes: int = 0, expand_to: int
     expand_to: probes on, nearest first, until the partitions hold that many vectors; off by default, so a search may find
     fewer than k.
     """
-    count = index.partition_count() if expand_to else probes
-    chosen = probe(queries, index, count)
-    if expand_to:
-        w = Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        sized = chosen.join(F.broadcast(index.centroids.select("part_id", "cnt")), "part_id")
-        chosen = sized.withColumn("__b", F.coalesce(F.sum("cnt").over(w), F.lit(0))).where((F.col("rank") <= probe_count(probes)) | (F.col("__b") < expand_to))
-    chosen = chosen.select("q_id", "part_id")
     q = queries.select("q_id", X.quantize(F.col("vector")).alias("__q"))
-    wanted = chosen.join(q, "q_id").withColumn("folder", F.pmod("part_id", F.lit(FOLDERS)))
+    wanted = _chosen(queries, index, probes, expand_to).join(q, "q_id").withColumn("folder", F.pmod("part_id", F.lit(FOLDERS)))
     d = X.squared_l2(F.col("__q"), F.col("levels"), index.dims, "long")
     # The side with the probes is small: a row of a few numbers for each probe of each query.
     return index.lists.join(sent(wanted, index.dims), ["folder", "part_id"]).select("q_id", "vec_id", F.col("label").alias("code"), "levels", d.alias("distance"))
 
 
-def search_labels(queries: DataFrame, index: Index, k: int = 5, probes: int = 0, expand_to: int = 0) -> DataFrame:
-    """(q_id, rank, vec_id, distance, label): the k nearest candidates; levels aren't turned back into values."""
+def _blocks(queries: DataFrame, index: Index, k: int, probes: int, expand_to: int) -> DataFrame | None:
+    """(q_id, vec_id, code, distance) of what can be among the k nearest of its batch; None if there are too many queries.
+
+    Lists stay where they are: each task has the queries by the partition that they search, and only folders and
+    partitions that some query searches are read.
+    """
+    held = queries.select("q_id", X.quantize(F.col("vector")).alias("q"))
+    if held.count() * (8 * index.dims + 16) > SENT_BYTES:
+        return None
+    rows = held.collect()
+    number = {r["q_id"]: i for i, r in enumerate(rows)}
+    ids = np.array([r["q_id"] for r in rows], np.int64)
+    q = np.array([r["q"] for r in rows], np.int64).reshape(len(rows), index.dims)
+    by_part: dict[int, list[int]] = {}
+    for r in _chosen(queries, index, probes, expand_to).collect():
+        by_part.setdefault(r["part_id"], []).append(number[r["q_id"]])
+    lists = index.lists.where(F.col("folder").isin(sorted({p % FOLDERS for p in by_part})) & F.col("part_id").isin(sorted(by_part)))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part_id").to_numpy(zero_copy_only=False)
+            v = batch.column("levels").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(part), -1)
+            order = np.argsort(part, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                mine = np.array(by_part[int(part[rows[0]])])
+                for at in range(0, len(mine), 256):
+                    some = mine[at : at + 256]
+                    d = np.zeros((len(some), len(rows)), np.int64)
+                    for i in range(v.shape[1]):
+                        x = q[some, i : i + 1] - v[rows, i]
+                        d += x * x
+                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.ones(d.shape, bool)
+                    a, b = np.nonzero(near)
+                    spot = pa.array(rows[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[a]]), batch.column("vec_id").take(spot), batch.column("label").take(spot), pa.array(d[a, b])], names=["q_id", "vec_id", "code", "distance"])
+
+    kind = index.lists.schema["vec_id"].dataType.simpleString()
+    return lists.select("part_id", "vec_id", "levels", "label").mapInArrow(run, f"q_id long, vec_id {kind}, code int, distance long")
+
+
+def search_labels(queries: DataFrame, index: Index, k: int = 5, probes: int = 0, expand_to: int = 0, strategy: str = "columns") -> DataFrame:
+    """(q_id, rank, vec_id, distance, label): the k nearest candidates; levels aren't turned back into values.
+
+    strategy "columns" is a join and an unrolled expression; "blocks" compares Arrow batches of lists with the queries that
+    search them, for many queries at once (whole-number q_ids).  Both give the same rows.
+    """
     check_k(k)
-    found = top_k(candidates(queries, index, probes, expand_to).drop("levels"), k)
-    return found.select("q_id", "rank", "vec_id", "distance", X.label_text(F.col("code")).alias("label"))
+    found = _blocks(queries, index, k, probes, expand_to) if strategy == "blocks" else None
+    if found is None:
+        found = candidates(queries, index, probes, expand_to).drop("levels")
+    return top_k(found, k).select("q_id", "rank", "vec_id", "distance", X.label_text(F.col("code")).alias("label"))
 
 
 def search(queries: DataFrame, index: Index, k: int = 5, probes: int = 0, expand_to: int = 0) -> DataFrame:

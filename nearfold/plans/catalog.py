@@ -243,6 +243,11 @@ def ivf_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search_labels(split(spark, sf_dir)[0], index(spark, sf_dir), K, PROBES)
 
 
+def ivf_labels_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ivf.search_labels(split(spark, sf_dir)[0], index(spark, sf_dir), K, PROBES, strategy="blocks")
+
+
 def ivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ivf.search(split(spark, sf_dir)[0], index(spark, sf_dir), K, PROBES)
     return found.select("q_id", "rank", "vec_id", "distance", "label", F.posexplode("vector").alias("dim", "value"))
@@ -302,8 +307,9 @@ def engine_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ivf.build(references, kmeans.evenly_spaced(references, PARTS), 14)
     p = payloads(spark, sf_dir).where("q_id % 250 = 0")
     text = F.to_json(F.struct(*[c for c in p.columns if c != "q_id"]))
+    ship(spark)
     requests = p.select("q_id", F.when(F.col("q_id") % 3 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"))
-    return Engine(made, CONFIG, risks(spark), K, PARTS).respond(requests)
+    return Engine(made, CONFIG, risks(spark), K, PARTS, strategy="blocks").prime().respond(requests)
 
 
 ENGINE_SQL = f"""WITH {PAYLOADS_SQL}, {ORDER_VECTORS_SQL},
@@ -342,7 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_vote, exact_knn, exact_knn_blocks, vectorize_orders, mcc_lookup_default, last_tx_sentinel, hour_weekday_features, known_merchant_flag,
         clamped_ratios, quantize, dequantize, quantized_knn, vector_products, assign_nearest, partition_sizes, partition_offsets, partition_layout,
-        lloyd_step, two_level_training, ivf_probe, ivf_labels, ivf_knn, ivf_vote, recall_at_5, latency_percentiles, score_orders, engine_decisions,
+        lloyd_step, two_level_training, ivf_probe, ivf_labels, ivf_labels_blocks, ivf_knn, ivf_vote, recall_at_5, latency_percentiles, score_orders, engine_decisions,
         failopen_decisions,
     )
 }
@@ -369,6 +375,7 @@ ORACLE_SQL: dict[str, str] = {
     "two_level_training": f"WITH {VECTORS_SQL} SELECT 16::BIGINT AS partitions, count(*) AS vectors, 0::BIGINT AS astray FROM r",
     "ivf_probe": f"WITH {VECTORS_SQL}, {SEEDS_SQL}, {PROBE_SQL} SELECT * FROM probe",
     "ivf_labels": f"{ALL_SQL} SELECT q_id, rank, vec_id, distance, label FROM found",
+    "ivf_labels_blocks": f"{ALL_SQL} SELECT q_id, rank, vec_id, distance, label FROM found",
     "ivf_knn": f"{ALL_SQL} SELECT q_id, rank, vec_id, distance, label, (i - 1)::INTEGER AS dim, CASE WHEN l[i] = 255 THEN (CASE WHEN i IN (6, 7) THEN -1.0 ELSE 1.0 END) ELSE l[i] / 255.0::DOUBLE END::DOUBLE AS value FROM found CROSS JOIN range(1, 65) t(i)",
     "ivf_vote": f"{ALL_SQL} {vote_sql('found')}",
     "recall_at_5": RECALL_SQL,

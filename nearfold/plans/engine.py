@@ -14,8 +14,8 @@ from nearfold.sources.files import decode_payloads, encode_decisions
 class Engine:
     """A loaded index with its configuration; ready once the index is resident."""
 
-    def __init__(self, index: ivf.Index, config: Config, risks: DataFrame, k: int = 5, probes: int = 0):
-        self.index, self.config, self.risks, self.k = index.check(), config, risks, k
+    def __init__(self, index: ivf.Index, config: Config, risks: DataFrame, k: int = 5, probes: int = 0, strategy: str = "columns"):
+        self.index, self.config, self.risks, self.k, self.strategy = index.check(), config, risks, k, strategy
         self.probes = ivf.probe_count(probes)
         self.is_ready = False
 
@@ -37,7 +37,7 @@ class Engine:
     def score(self, payloads: DataFrame, by: str = "q_id") -> DataFrame:
         """``payloads`` (its columns and ``by``, unique) with fraud_score and approved; no row is ever lost."""
         vectors = vectorize(payloads, self.config, self.risks, "vector").where("vector IS NOT NULL").select(F.col(by).alias("q_id"), "vector")
-        votes = scoring.vote(ivf.search_labels(vectors, self.index, self.k, self.probes)).withColumnRenamed("q_id", by)
+        votes = scoring.vote(ivf.search_labels(vectors, self.index, self.k, self.probes, strategy=self.strategy)).withColumnRenamed("q_id", by)
         return scoring.decide(payloads, votes, by)
 
     def score_exactly(self, payloads: DataFrame, references: DataFrame, by: str = "q_id") -> DataFrame:

@@ -59,6 +59,9 @@ def test_no_neighbours_approve(spark):
 def test_probing_all_partitions_is_quantized_brute_force(spark, queries, references):
     index = ivf.build(references, kmeans.evenly_spaced(references, 8), 14)
     found = {(r["q_id"], r["rank"]): r["distance"] for r in ivf.search_labels(queries, index, 5, 8).collect()}
+    for probes, expand in ((8, 0), (2, 0), (1, 30)):
+        a, b = (ivf.search_labels(queries, index, 5, probes, expand, strategy=s).orderBy("q_id", "rank").collect() for s in ("columns", "blocks"))
+        assert a == b
     lift = lambda x: np.where(np.array(x) < 0, 255, np.minimum(254, np.floor(np.array(x) * 254 + 0.5))).astype(int)
     refs = [lift(r["vector"]) for r in references.collect()]
     for q in queries.collect():
