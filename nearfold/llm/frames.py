@@ -148,17 +148,16 @@ def with_leader(rows: DataFrame) -> DataFrame:
     """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``."""
     of_bucket = Window.partitionBy("bucket")
     both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
-    return both.where("leader != last").select("bucket", "node", "leader")
+    return cut(both.where("leader != last").select("bucket", "node", "leader"))
 
 
 def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) with the same components as all pairs (a, b) of nodes that share a bucket and that ``verify`` keeps.
 
-    members: (bucket, node, leader), of buckets with more than one node.  Each node is checked against its bucket's leader,
+    members: (bucket, node, leader) as with_leader gives them, of buckets with more than one node.  Each node is checked against its bucket's leader,
     which is linear.  Every pair of a bucket whose nodes aren't in one component by then is checked as well; a pair within
     a component can't change the components.  No bucket or pair is left out.
     """
-    members = cut(members)
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     found = cut(verify(star))
     labels = connected_components(found).withColumnRenamed("node", "named")

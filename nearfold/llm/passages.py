@@ -194,7 +194,7 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = (7, 10), seed: int =
     found = stored(found, "blocks")
     heads = found.where("bands IS NOT NULL")
     members = with_leader(heads.select(F.explode("bands").alias("bucket"), "node").where("bucket IS NOT NULL"))
-    places = heads.select("node", "doc_id", "start").distinct()
+    places = cut(heads.select("node", "doc_id", "start").join(members.select("node").distinct(), "node", "left_semi").distinct())
     near = verified_edges(members, lambda pairs: verify(pairs, places, docs, threshold))
     labels = cut(connected_components(near))
     several = found.where("docs = 1").select("node", "doc_id", "start").union(found.where("docs = 0").select("node", "doc_id", "start").join(labels.select("node"), "node", "left_semi"))
