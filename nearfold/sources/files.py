@@ -84,7 +84,7 @@ def random_payloads(spark: SparkSession, n: int, seed: int = 99) -> DataFrame:
     """``n`` payloads of plausible values, half of them without a last transaction."""
     r = lambda k: F.rand(seed + k)
     at = lambda k: F.date_format(F.timestamp_seconds(F.lit(1_772_000_000) + (r(k) * 2_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    mcc = F.element_at(F.array(*map(F.lit, ["5411", "5812", "5912", "5944", "7801", "7802", "5999"])), (r(5) * 7).cast("int") + 1)
+    mcc = F.element_at(F.array(*map(F.lit, "7802 5999 5411 7801 5944 5812 5912".split())), (r(5) * 7).cast("int") + 1)
     shop = lambda k: F.concat(F.lit("M-"), (r(k) * 50).cast("int").cast("string"))
     last = F.struct(at(11).alias("timestamp"), (r(12) * 1200).alias("km_from_current"))
     return spark.range(n).select(
