@@ -492,6 +492,53 @@ def test_classes_raise_the_likelihood_and_find_structure(spark):
     assert all(len(f) == 1 for f in found) and len(set.union(*found)) == 3
 
 
+def test_every_word_has_its_class_and_count(spark):
+    rng = random.Random(15)
+    texts = [text(rng, rng.randint(1, 40), 90) for _ in range(80)]
+    table = docs(spark, texts)
+    core = brown.train(table, size=20, classes=4, rounds=2)
+    model = brown.complete(table, core)
+    count = Counter(w for t in texts for w in t.split())
+    h = {w: tk.Words(*tk.text_buffer(pa.array([w]))).hashes() for w in count}
+    of = {w: int(model.classes(h[w])[0][0]) for w in count}
+    beyond = [w for w in count if core.held.numbers(h[w])[0] == core.held.rare]
+    assert len(beyond) == len(count) - 20 and all(int(model.placed.find(h[w])[1][0]) == count[w] and of[w] < 4 for w in beyond)
+    # Each word beyond the vocabulary stands where its neighbours' counts raise the likelihood of the first table most.
+    base = lambda w: int(core.of[core.held.numbers(h[w])[0]])
+    start = int(core.of[core.held.start])
+    f = lambda x: x * math.log(max(x, 1))
+    for w in beyond[:25]:
+        seen = [(ws, i) for ws in (x.split() for x in texts) for i in range(len(ws)) if ws[i] == w]
+        before = Counter(base(ws[i - 1]) if i else start for ws, i in seen)
+        after = Counter(base(ws[i + 1]) for ws, i in seen if i + 1 < len(ws))
+        values = []
+        for k in range(4):
+            gain = sum(f(core.table[c, k] + n) - f(core.table[c, k]) for c, n in before.items()) + sum(f(core.table[k, c] + n) - f(core.table[k, c]) for c, n in after.items())
+            for have, more in ((core.table[k].sum(), after.total()), (core.table[:, k].sum(), before.total())):
+                gain -= f(have + more) - f(have)
+            values.append(gain)
+        assert values[of[w]] == pytest.approx(max(values), abs=1e-9)
+    pairs, size = np.zeros((6, 6)), Counter()
+    for ws in (x.split() for x in texts):
+        for a, b in zip([None, *ws], ws):
+            pairs[start if a is None else of[a], of[b]] += 1
+            size[of[b]] += 1
+    assert (model.table == pairs).all()
+    got = {r["doc_id"]: r for r in brown.score(table, model).collect()}
+    for d, ws in enumerate(x.split() for x in texts):
+        total = sum(model.step[start if a is None else of[a], of[b]] + math.log(count[b] / size[of[b]]) for a, b in zip([None, *ws], ws))
+        assert got[d]["n_words"] == len(ws) and got[d]["log_prob"] == pytest.approx(total)
+
+
+def test_words_beyond_the_vocabulary_score_by_their_counts(spark):
+    rng = random.Random(17)
+    frequent = words(rng, 3, 10**6)
+    texts = [" ".join(frequent * 60), *["often here"] * 40, "once there"]
+    model = brown.complete(docs(spark, texts), brown.train(docs(spark, texts), size=3, classes=2, rounds=1))
+    got = {r["doc_id"]: r["perplexity"] for r in brown.score(docs(spark, texts), model).collect()}
+    assert got[1] < got[len(texts) - 1]
+
+
 # The pipeline.
 
 
