@@ -252,6 +252,32 @@ def test_edited_passages(spark):
     assert found <= {2 * k + 1 for k in range(copies)} and len(found) >= 0.9 * copies
 
 
+def near_blocks(rng, n, edits):
+    """For n pairs of texts that share an edited passage of 50 to 80 words: the rows of both, and pairs of blocks with their similarity."""
+    texts = []
+    for _ in range(n):
+        ws = words(rng, rng.randint(50, 80), 5000)
+        other = list(ws)
+        for k in rng.sample(range(len(ws)), edits):
+            other[k] = words(rng, 1, 5000)[0]
+        texts += [" ".join(words(rng, 30, 5000) + ws + words(rng, 30, 5000)), " ".join(words(rng, 30, 5000) + other + words(rng, 30, 5000))]
+    rows = passages.block_rows(*tk.text_buffer(pa.array(texts)), 20030609)
+    split = [t.split() for t in texts]
+    sets = [{tuple(split[r][i : i + 3]) for i in range(p, p + passages.BLOCK - 2)} for r, p in zip(rows[0], rows[1])]
+    of = defaultdict(list)
+    for i, r in enumerate(rows[0].tolist()):
+        of[r].append(i)
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for d in range(n) for i in of[2 * d] for j in of[2 * d + 1]]
+    return rows, pairs
+
+
+def test_bands_find_near_blocks():
+    rows, pairs = near_blocks(random.Random(18), 600, 3)
+    near = [(i, j) for i, j, s in pairs if 0.7 <= s < 0.8]
+    found = sum((rows[3][i] == rows[3][j]).any() for i, j in near)
+    assert len(near) > 300 and found >= 0.95 * len(near)
+
+
 def test_anchors_cover_every_window():
     rng = random.Random(9)
     data, offsets = tk.text_buffer(pa.array([text(rng, 900, 300), text(rng, 27), text(rng, 20), "x " * 300]))
