@@ -145,10 +145,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def with_leader(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``."""
+    """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``.
+
+    With a column ``owner``, the leader's as ``leads``; buckets of which one owner has all nodes are dropped.
+    """
     of_bucket = Window.partitionBy("bucket")
-    both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
-    return cut(both.where("leader != last").select("bucket", "node", "leader"))
+    if "owner" not in rows.columns:
+        both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
+        return cut(both.where("leader != last").select("bucket", "node", "leader"))
+    # A node without an owner belongs to several: it is no other node's owner's.
+    first = F.min(F.struct("node", "owner")).over(of_bucket)
+    both = rows.withColumn("first", first).withColumn("last", F.max("node").over(of_bucket))
+    both = both.withColumn("lo", F.min("owner").over(of_bucket)).withColumn("hi", F.max("owner").over(of_bucket)).withColumn("open", F.max(F.col("owner").isNull()).over(of_bucket))
+    both = both.where("first.node != last AND (open OR lo != hi)")
+    return cut(both.select("bucket", "node", "owner", F.col("first.node").alias("leader"), F.col("first.owner").alias("leads")))
 
 
 def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -156,22 +166,27 @@ def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
 
     members: (bucket, node, leader) as with_leader gives them, of buckets with more than one node.  Each node is checked against its bucket's leader,
     which is linear.  Every pair of a bucket whose nodes aren't in one component by then is checked as well; a pair within
-    a component can't change the components.  No bucket or pair is left out.
+    a component can't change the components.  No bucket or pair is left out, but for pairs with the same ``owner`` if
+    members have one.
     """
-    star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    owned = "owner" in members.columns
+    star = members.where("node != leader" + " AND (owner = leads) IS NOT TRUE" * owned).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     found = cut(verify(star))
     labels = connected_components(found).withColumnRenamed("node", "named")
     of_bucket = Window.partitionBy("bucket")
     apart = (
         members.join(labels, members.node == labels.named, "left")
-        .select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
+        .select("bucket", "node", "leader", *["owner"] * owned, F.coalesce("label", "node").alias("label"))
         .withColumn("lo", F.min("label").over(of_bucket))
         .withColumn("hi", F.max("label").over(of_bucket))
         .where("lo != hi AND node != leader")
-        .select("bucket", "node", "label")
+        .select("bucket", "node", *["owner"] * owned, "label")
         .distinct()
     )
     apart = cut(apart)
     p, q = apart.alias("p"), apart.alias("q")
-    rest = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")))
+    other = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
+    if owned:
+        other &= F.expr("(p.owner = q.owner) IS NOT TRUE")
+    rest = p.join(q, other)
     return found.union(cut(verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())))

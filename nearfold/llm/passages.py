@@ -8,7 +8,7 @@ REACH + BLOCK words or more therefore share a whole block of it, wherever it sta
 1.  Blocks with equal words are grouped by a 128-bit hash of them.
 2.  One block of each group goes on to the search for near-equal ones: MinHash signatures of its three-word shingles,
     ``BANDS`` bands of ``ROWS`` coordinates; colliding blocks are verified by their exact Jaccard similarity (see
-    ``verified_edges``: no bucket and no pair is left out) and joined to components.
+    ``verified_edges``: no bucket is left out, and no pair but those within one document) and joined to components.
 3.  Of a component's blocks those of the least doc_id stay, those of other documents are removals.  Overlapping and
     touching removals of a text are one passage.
 
@@ -32,8 +32,6 @@ BLOCK, REACH, GRAM, SHINGLE = 24, 26, 4, 3
 BANDS, ROWS = 5, 2
 #: Bits of a band's hash that name its bucket; blocks that collide by chance are verified like all others.
 BUCKET_BITS = 40
-#: Blocks before one that are looked at for overlaps.
-OVERLAPS = 4
 BLOCK_SCHEMA = "h1 long, h2 long, doc_id long, start int, " + ", ".join(f"b{k} long" for k in range(BANDS))
 
 
@@ -109,12 +107,7 @@ def block_rows(data: np.ndarray, offsets: np.ndarray, seed: int):
                 least = sliding(((shingle + term) * (factor | np.uint64(1))) >> np.uint64(8), BLOCK - SHINGLE + 1)[at]
                 code = tk.mix(code * np.uint64(0x9E3779B97F4A7C15) + least)
             bands[:, b] = code >> np.uint64(64 - BUCKET_BITS)
-    # Blocks of a text that overlap are near-equal; in a bucket that they share the first one stands for them.
-    spare = np.zeros((len(at), BANDS), bool)
-    for back in range(1, OVERLAPS + 1):
-        close = (at[back:] - at[:-back] < BLOCK) & (words.row[at[back:]] == words.row[at[:-back]])
-        spare[back:] |= close[:, None] & (bands[back:] == bands[:-back])
-    return words.row[at], place, both, bands, spare
+    return words.row[at], place, both, bands
 
 
 def blocks(docs: DataFrame, seed: int) -> DataFrame:
@@ -123,9 +116,9 @@ def blocks(docs: DataFrame, seed: int) -> DataFrame:
             data, offsets = tk.text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in tk.chunks(offsets):
-                row, place, both, bands, spare = block_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], seed)
+                row, place, both, bands = block_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], seed)
                 if len(row):
-                    columns = [*(pa.array(tk.to_long(x)) for x in both), pa.array(ids[a:b][row]), pa.array(place.astype(np.int32)), *(pa.array(tk.to_long(np.ascontiguousarray(bands[:, k])), mask=spare[:, k]) for k in range(BANDS))]
+                    columns = [*(pa.array(tk.to_long(x)) for x in both), pa.array(ids[a:b][row]), pa.array(place.astype(np.int32)), *(pa.array(tk.to_long(np.ascontiguousarray(bands[:, k]))) for k in range(BANDS))]
                     yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "start", *(f"b{k}" for k in range(BANDS))])
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, BLOCK_SCHEMA)
@@ -196,7 +189,9 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = (7, 10), seed: int =
     found = found.select(F.col("h1").alias("node"), "doc_id", "start", "docs", bands.alias("bands"))
     found = stored(found, "blocks")
     heads = found.where("bands IS NOT NULL")
-    members = with_leader(heads.select(F.explode("bands").alias("bucket"), "node").where("bucket IS NOT NULL"))
+    # Blocks that only one document has, as those that overlap in it, aren't verified against each other.
+    owner = F.when(F.col("docs") == 0, F.col("doc_id")).alias("owner")
+    members = with_leader(heads.select(F.explode("bands").alias("bucket"), "node", owner))
     places = cut(heads.select("node", "doc_id", "start").join(members.select("node").distinct(), "node", "left_semi").distinct())
     near = verified_edges(members, lambda pairs: verify(pairs, places, docs, threshold))
     labels = cut(connected_components(near))

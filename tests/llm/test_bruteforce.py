@@ -278,6 +278,19 @@ def test_bands_find_near_blocks():
     assert len(near) > 300 and found >= 0.95 * len(near)
 
 
+def test_overlapping_blocks_keep_their_bands(spark):
+    rng = random.Random(19)
+    shared = words(rng, 400, 5000)
+    table = docs(spark, [" ".join(words(rng, 40, 5000) + edited(rng, shared, 12, 5000)) for _ in range(2)] + [" ".join(words(rng, 3, 5000) * 60)])
+    assert passages.blocks(table, 20030609).where(" OR ".join(f"b{k} IS NULL" for k in range(passages.BANDS))).count() == 0
+    # Of blocks of different documents every near pair is verified, whatever overlaps with them; of one document none.
+    rows = [(0, 1, 10), (0, 2, 10), (0, 3, 11), (1, 4, 12), (1, 5, 12), (2, 6, None), (2, 7, 13), (3, 8, 14), (3, 9, 15), (3, 10, 15), (3, 11, 14)]
+    members = frames.with_leader(spark.createDataFrame(rows, "bucket long, node long, owner long"))
+    asked = []
+    frames.verified_edges(members, lambda pairs: (asked.extend((r["a"], r["b"]) for r in pairs.collect()), pairs.limit(0))[1])
+    assert sorted(asked) == [(1, 3), (2, 3), (6, 7), (8, 9), (8, 10), (9, 11), (10, 11)]
+
+
 def test_anchors_cover_every_window():
     rng = random.Random(9)
     data, offsets = tk.text_buffer(pa.array([text(rng, 900, 300), text(rng, 27), text(rng, 20), "x " * 300]))
