@@ -9,7 +9,8 @@ lengths and labels, which chooses boundaries and kinds jointly.
 The model is trained here by maximum likelihood (exact gradients by the forward and backward recursions) on sequences that
 a seeded generator makes of the kinds and of things that resemble them: dates, versions, prices, licence lines, formulas.
 
-Candidate spans contain a digit, ``@``, ``=`` or a word of ``CAPITALS`` capitals: that is part of the model.  A word further than ``LONGEST`` from any such
+Candidate spans contain a digit, ``@``, ``=``, a word of ``CAPITALS`` capitals or a key word with a colon (``password:``): that is
+part of the model.  A word further than ``LONGEST`` from any such
 word is *none* in every segmentation, so the programme runs over the stretches around them only, and gives what it would
 give on the whole text.  Everything happens where a text is read; nothing is shuffled.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from nearfold.llm import textkernel as tk
 
 KINDS = ("none", "email", "phone", "card", "ip", "key", "secret", "iban", "ssn")
-LONGEST = 4
+LONGEST = 9
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), ord("@"), ord("=")]] = True
@@ -41,12 +42,14 @@ _PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">", '"': '"', "'": "'", "`": "`",
 _OPENED = {close: open_ for open_, close in _PAIRS.items()}
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|\+\d{8,14}")
-_CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19}")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|\+\d{8,14}|\+\d{1,3}(?: \d{1,4}){4,5}")
+_CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{13,19}")
 _KEY = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|xox[bp]-|AIza)[\w-]{12,}")
 _SECRET = re.compile(r"(?i)[\"']?[\w.-]*(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential)[\w.-]*[\"']?\s?[=:]\s?[\"']?([^\s\"']{6,})[\"']?")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
+#: A key word with a colon after it, in one word or with the colon as the next.
+_NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential)[\w.-]*[\"']?:")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}.*|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
@@ -78,9 +81,9 @@ def core(span: str) -> tuple[int, int]:
 
 
 FEATURES = (
-    "bias", "length 2", "length 3", "length 4", "email", "ip", "ip octets", "phone", "card", "card luhn", "key", "secret",
+    "bias", *(f"length {k}" for k in range(2, LONGEST + 1)), "email", "ip", "ip octets", "phone", "card", "card luhn", "key", "secret",
     "secret mixed", "iban", "ssn", "date", "hex", "no digits", "digits 1-4", "digits 5-9", "digits 10-12", "digits 13+",
-    "at sign", "equals", "full match of some kind", "no full match", "letters only at an end", "dots", "part of a match",
+    "at sign", "equals", "full match of some kind", "no full match", "long, no full match", "letters only at an end", "dots", "part of a match",
 )
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -130,6 +133,8 @@ def features(span: str, words: int) -> tuple[int, ...]:
         out.append("full match of some kind")
     else:
         out.append("no full match")
+        if words > 4:
+            out.append("long, no full match")
         if any(p.search(s) for p in (_EMAIL, _IP, _PHONE, _CARD, _KEY, _SECRET)):
             out.append("part of a match")
     ends = s.split(" ")
@@ -150,7 +155,7 @@ class Model:
         """score[end, length, label] of the span of ``length`` + 1 words that ends with word ``end``; impossible: -inf."""
         n = len(words)
         out = np.full((n, LONGEST, len(KINDS)), -np.inf)
-        has = [any(c in "0123456789@=" for c in w) or sum("A" <= c <= "Z" for c in w) >= CAPITALS for w in words]
+        has = [any(c in "0123456789@=" for c in w) or sum("A" <= c <= "Z" for c in w) >= CAPITALS or bool(":" in w and _NAMED.search(w)) for w in words]
         for e in range(n):
             for d in range(min(LONGEST, e + 1)):
                 span = words[e - d : e + 1]
@@ -250,20 +255,21 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
     word = lambda: "".join(rng.choices("abcdefghilmnoprstuvwéüñö", k=rng.randint(1, 10)))
     digits = lambda k: "".join(rng.choices(string.digits, k=k))
     hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    letters = lambda k: "".join(rng.choices(string.ascii_lowercase, k=k))
     name = lambda: rng.choice(["password", "token", "secret", "api_key", "passwd", "auth_token", "pwd"])
 
     def card() -> str:
         c = _card(rng) if rng.random() < 0.6 else "4" + digits(15)
-        return rng.choice([c, c, c, " ".join(c[k : k + 4] for k in range(0, 16, 4)), "-".join(c[k : k + 4] for k in range(0, 16, 4))])
+        return rng.choice([c, c, c, " ".join([*(c[k : k + 4] for k in range(0, 16, 4)), digits(3)]), " ".join(c[k : k + 4] for k in range(0, 16, 4)), "-".join(c[k : k + 4] for k in range(0, 16, 4))])
 
     makers = {
         1: lambda: f"{word()}{rng.choice(['.', '_', ''])}{digits(rng.randint(0, 3))}@{word()}{rng.choice(['', digits(1)])}.{rng.choice(['example.com', 'org', 'co.uk', 'net'])}".encode("ascii", "ignore").decode(),
-        2: lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}"]),
+        2: lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{rng.randint(1, 99)} {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{rng.randint(1, 99)} {digits(2)} {digits(3)} {digits(2)} {digits(2)}"]),
         3: card,
         4: lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         5: lambda: rng.choice(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)), "sk-" + hexes(32)]),
-        6: lambda: rng.choice([f"{name()}={hexes(rng.randint(8, 40))}", f'{name()} = "{hexes(rng.randint(16, 40))}"', f"{name()}: {hexes(rng.randint(12, 40))}", f"{name()}={word()}{digits(4)}!"]),
-        7: lambda: rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + rng.choice([digits(18), " ".join([""] + [digits(4) for _ in range(2)]), digits(16)]),
+        6: lambda: rng.choice([f"{name()}={hexes(rng.randint(8, 40))}", f'{name()} = "{hexes(rng.randint(16, 40))}"', f"{name()}: {hexes(rng.randint(12, 40))}", f"{name()}={word()}{digits(4)}!", f"{name()}: {letters(rng.randint(8, 20))}"]),
+        7: lambda: rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + rng.choice([digits(18), " ".join([""] + [digits(4) for _ in range(2)]), digits(16), " ".join(["", *(digits(4) for _ in range(rng.randint(3, 7))), digits(rng.randint(1, 3))])]),
         8: lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
     }
     others = [
@@ -274,6 +280,7 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
         lambda: " ".join(f"{word()}{digits(rng.randint(1, 4))}" for _ in range(rng.randint(1, 4))), lambda: " ".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 4))),
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: f"{digits(2)} {word()} {digits(3)}", lambda: f"{digits(5)}{word()}", lambda: f"{word()}-{digits(4)}-{word()}", lambda: f"https://{word()}.org/{word()}?id={digits(3)}",
         lambda: " ".join(f"{rng.randint(0, 99)}.{digits(2)}" for _ in range(rng.randint(1, 4))), lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"a@b {digits(2)}", lambda: f"ISBN {digits(3)}-{digits(1)}",
+        lambda: " ".join(f"{word()}{digits(rng.randint(1, 2))}" for _ in range(rng.randint(5, LONGEST))),
     ]
     out = []
     for _ in range(n):
@@ -335,6 +342,9 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> list[tuple[
         words = tk.Words(data[base : offsets[b]], offsets[a : b + 1] - base)
         marked, capital = (np.concatenate([[0], np.cumsum(sort[words.data])]) for sort in (_TRIGGER, _CAPITAL))
         trigger = (marked[words.end] > marked[words.start]) | (capital[words.end] - capital[words.start] >= CAPITALS)
+        colons = np.concatenate([[0], np.cumsum(words.data == ord(":"))])
+        for k in np.flatnonzero(~trigger & (colons[words.end] > colons[words.start])).tolist():
+            trigger[k] = _NAMED.search(bytes(words.data[words.start[k] : words.end[k]]).decode("utf-8", "replace")) is not None
         for lo, hi in _stretches(trigger, words.row):
             start, end = words.start[lo:hi].tolist(), words.end[lo:hi].tolist()
             text = [bytes(words.data[s:e]).decode("utf-8", "replace") for s, e in zip(start, end)]

@@ -374,6 +374,14 @@ def test_redaction_of_the_corpus_kinds(spark):
         assert got[k]["text"] == t and got[k]["spans"] == []
 
 
+def test_entities_of_many_words_and_secrets_of_letters(spark):
+    found = ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3026 06", "+33 6 12 34 56 78", "4047 0544 3395 3522 123", "password: correcthorse"]
+    got = {r["doc_id"]: r for r in pii.redact(docs(spark, [f"send it to {s} and wait" for s in found])).collect()}
+    for k, s in enumerate(found):
+        (span,) = got[k]["spans"]
+        assert f"send it to {s} and wait"[span["begin"] : span["end"]] == s
+
+
 def test_long_texts_are_searched_to_the_end(spark):
     (r,) = pii.redact(docs(spark, ["ab cd " * 400_000 + "me@here.org"])).collect()
     assert r["text"].endswith("[email]") and len(r["spans"]) == 1
