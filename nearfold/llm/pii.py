@@ -7,17 +7,20 @@ equals sign, ...) and of a weight for each pair of neighbouring labels.  Decodin
 lengths and labels, which chooses boundaries and kinds jointly.
 
 The model is trained here by maximum likelihood (exact gradients by the forward and backward recursions) on sequences that
-a seeded generator makes of the kinds and of things that resemble them: dates, versions, prices, licence lines, formulas.
-
-Candidate spans contain a digit, ``@``, ``=``, a word of ``CAPITALS`` capitals or a key word with a colon (``password:``): that is
-part of the model.  A word further than ``LONGEST`` from any such
-word is *none* in every segmentation, so the programme runs over the stretches around them only, and gives what it would
-give on the whole text.  Everything happens where a text is read; nothing is shuffled.
+a seeded generator makes of the kinds and of things that resemble them: dates, versions, prices, licence lines, formulas, and
+long numbers whose check digit is wrong, so that a number counts as a card's only if Luhn's rule holds.  Training takes some
+seconds, so its result lies beside this file (``pii_weights``, written by ``python -m nearfold.llm.pii``); a test trains again.
+
+Candidate spans contain a digit, ``@``, ``=``, a word of ``CAPITALS`` capitals, a key's prefix (``ghp_``) or a key word with a
+colon (``password:``): that is part of the model.  A word further than ``LONGEST`` from any such word is *none* in every
+segmentation, so the programme runs over the stretches around them only, and gives what it would give on the whole text.
+Everything happens where a text is read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import random
 import re
 import string
@@ -35,6 +38,8 @@ LONGEST = 9
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), ord("@"), ord("=")]] = True
+_JOINT = np.zeros(256, bool)
+_JOINT[[ord(c) for c in ":_-"]] = True
 CAPITALS = 14
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
@@ -43,14 +48,16 @@ _OPENED = {close: open_ for open_, close in _PAIRS.items()}
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|\+\d{8,14}|\+\d{1,3}(?: \d{1,4}){4,5}")
-_CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{13,19}")
-_KEY = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|xox[bp]-|AIza)[\w-]{12,}")
+_CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{4}([ -])\d{6}\3\d{5}|\d{13,19}")
+_KEY = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|sk_|xox[bp]-|AIza)[\w-]{12,}")
 _SECRET = re.compile(r"(?i)[\"']?[\w.-]*(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential)[\w.-]*[\"']?\s?[=:]\s?[\"']?([^\s\"']{6,})[\"']?")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 #: A key word with a colon after it, in one word or with the colon as the next.
 _NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|apikey|auth|credential)[\w.-]*[\"']?:")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}.*|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
+#: What stands before the number of a version or a section.
+_NUMBERED = re.compile(r"(?i)(?:versions?|ver\.?|v\.?|release|rev\.?|section|sec\.?|chapter|build|firmware)")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 
@@ -84,13 +91,18 @@ FEATURES = (
     "bias", *(f"length {k}" for k in range(2, LONGEST + 1)), "email", "ip", "ip octets", "phone", "card", "card luhn", "key", "secret",
     "secret mixed", "iban", "ssn", "date", "hex", "no digits", "digits 1-4", "digits 5-9", "digits 10-12", "digits 13+",
     "at sign", "equals", "full match of some kind", "no full match", "long, no full match", "letters only at an end", "dots", "part of a match",
+    "card, luhn fails", "ip after a version word", "begins with a version word",
+    "digits beside", "digits beside, full match",
 )
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
 
 @functools.lru_cache(maxsize=50_000)
-def features(span: str, words: int) -> tuple[int, ...]:
-    """The indices of the features that a whole span has."""
+def features(span: str, words: int, numbered: bool = False, beside: bool = False) -> tuple[int, ...]:
+    """The indices of the features that a whole span has.
+
+    numbered: the word before it is one like *version*; beside: a word next to it is a number.
+    """
     out = ["bias"]
     if words > 1:
         out.append(f"length {words}")
@@ -108,10 +120,12 @@ def features(span: str, words: int) -> tuple[int, ...]:
     full("email", _EMAIL)
     if (m := full("ip", _IP)) and all(int(g) < 256 for g in m.groups()):
         out.append("ip octets")
+    if m and numbered:
+        out.append("ip after a version word")
     digits = sum(c.isdigit() for c in s)
     full("phone", _PHONE)
-    if full("card", _CARD) and luhn("".join(c for c in s if c.isascii() and c.isdigit())):
-        out.append("card luhn")
+    if full("card", _CARD):
+        out.append("card luhn" if luhn("".join(c for c in s if c.isascii() and c.isdigit())) else "card, luhn fails")
     full("key", _KEY)
     if m := full("secret", _SECRET):
         v = m.group(1)
@@ -129,6 +143,8 @@ def features(span: str, words: int) -> tuple[int, ...]:
         out.append("at sign")
     if "=" in s:
         out.append("equals")
+    if beside:
+        out.append("digits beside, full match" if matched else "digits beside")
     if matched:
         out.append("full match of some kind")
     else:
@@ -142,9 +158,22 @@ def features(span: str, words: int) -> tuple[int, ...]:
         out.append("letters only at an end")
     if s.count(".") > 1:
         out.append("dots")
+    if words > 1 and _NUMBERED.fullmatch(ends[0]):
+        out.append("begins with a version word")
     return tuple(_AT[x] for x in out)
 
 
+def triggers(word: str) -> bool:
+    """Whether a span with this word is a candidate."""
+    return any(c in "0123456789@=" for c in word) or sum("A" <= c <= "Z" for c in word) >= CAPITALS or bool(":" in word and _NAMED.search(word)) or bool(("_" in word or "-" in word) and _KEY.search(word))
+
+
+def span_features(words: list[str], begin: int, end: int) -> tuple[int, ...]:
+    """Of the span of words from ``begin`` to before ``end``."""
+    before, after = words[begin - 1] if begin else "", words[end] if end < len(words) else ""
+    return features(" ".join(words[begin:end]), end - begin, _NUMBERED.fullmatch(before.lstrip("([")) is not None, before.lstrip("([").isdigit() or after.rstrip(".,;:!?)]").isdigit())
+
+
 class Model:
     """Weights of label and feature, and of neighbouring labels (the last row: at the beginning)."""
 
@@ -155,14 +184,13 @@ class Model:
         """score[end, length, label] of the span of ``length`` + 1 words that ends with word ``end``; impossible: -inf."""
         n = len(words)
         out = np.full((n, LONGEST, len(KINDS)), -np.inf)
-        has = [any(c in "0123456789@=" for c in w) or sum("A" <= c <= "Z" for c in w) >= CAPITALS or bool(":" in w and _NAMED.search(w)) for w in words]
+        has = [triggers(w) for w in words]
         for e in range(n):
             for d in range(min(LONGEST, e + 1)):
-                span = words[e - d : e + 1]
                 trigger = any(has[e - d : e + 1])
                 if d and not trigger:
                     continue
-                s = self.weight[:, features(" ".join(span), d + 1)].sum(axis=1)
+                s = self.weight[:, span_features(words, e - d, e + 1)].sum(axis=1)
                 if trigger:
                     out[e, d] = s
                 if d == 0:
@@ -223,19 +251,19 @@ class Model:
             for d in range(min(LONGEST, e + 1)):
                 if np.isfinite(score[e, d]).any():
                     p = np.exp(into(e - d) + score[e, d] + g[e + 1] - z)
-                    dw[:, features(" ".join(words[e - d : e + 1]), d + 1)] -= p[:, None]
+                    dw[:, span_features(words, e - d, e + 1)] -= p[:, None]
         for b in range(1, n):
             dc[:k] -= np.exp(f[b][:, None] + inner + onward[b][None, :] - z)
         dc[k] -= np.exp(self.chain[k] + onward[0] - z)
         like, at, y = -z, 0, k
         for b, e, label in [*gold, (n, n, -1)]:
             for a in range(at, b):
-                dw[0, features(words[a], 1)] += 1
+                dw[0, span_features(words, a, a + 1)] += 1
                 dc[y, 0] += 1
                 like += score[a, 0, 0] + self.chain[y, 0]
                 y = 0
             if label > 0:
-                dw[label, features(" ".join(words[b:e]), e - b)] += 1
+                dw[label, span_features(words, b, e)] += 1
                 dc[y, label] += 1
                 like += score[e - 1, e - 1 - b, label] + self.chain[y, label]
                 y = label
@@ -243,10 +271,20 @@ class Model:
         return float(like), dw, dc
 
 
-def _card(rng: random.Random) -> str:
-    head = rng.choice(["4", "51", "52", "34", "6011"]) + "".join(rng.choices(string.digits, k=11))
-    head = head[:15]
-    return head + next(d for d in string.digits if luhn(head + d))
+def _card(rng: random.Random, valid: bool = True) -> str:
+    """A card's number of 13, 15, 16 or 19 digits; not valid: with a wrong check digit."""
+    n = rng.choice([16, 16, 16, 16, 15, 13, 19])
+    head = rng.choice(["34", "37"] if n == 15 else ["4", "51", "52", "6011", str(rng.randint(10, 99))])
+    head += "".join(rng.choices(string.digits, k=n - 1 - len(head)))
+    return head + rng.choice([d for d in string.digits if luhn(head + d) == valid])
+
+
+def _grouped(rng: random.Random, c: str) -> str:
+    """A long number in one piece or in groups."""
+    if rng.random() < 0.5:
+        return c
+    at = [4, 10] if len(c) == 15 else list(range(4, len(c), 4))
+    return rng.choice([" ", " ", "-"]).join(c[i:j] for i, j in zip([0, *at], [*at, len(c)]))
 
 
 def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, int]]]]:
@@ -258,29 +296,27 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
     letters = lambda k: "".join(rng.choices(string.ascii_lowercase, k=k))
     name = lambda: rng.choice(["password", "token", "secret", "api_key", "passwd", "auth_token", "pwd"])
 
-    def card() -> str:
-        c = _card(rng) if rng.random() < 0.6 else "4" + digits(15)
-        return rng.choice([c, c, c, " ".join([*(c[k : k + 4] for k in range(0, 16, 4)), digits(3)]), " ".join(c[k : k + 4] for k in range(0, 16, 4)), "-".join(c[k : k + 4] for k in range(0, 16, 4))])
-
     makers = {
         1: lambda: f"{word()}{rng.choice(['.', '_', ''])}{digits(rng.randint(0, 3))}@{word()}{rng.choice(['', digits(1)])}.{rng.choice(['example.com', 'org', 'co.uk', 'net'])}".encode("ascii", "ignore").decode(),
         2: lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{rng.randint(1, 99)} {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{rng.randint(1, 99)} {digits(2)} {digits(3)} {digits(2)} {digits(2)}"]),
-        3: card,
+        3: lambda: _grouped(rng, _card(rng)),
         4: lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-        5: lambda: rng.choice(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)), "sk-" + hexes(32)]),
-        6: lambda: rng.choice([f"{name()}={hexes(rng.randint(8, 40))}", f'{name()} = "{hexes(rng.randint(16, 40))}"', f"{name()}: {hexes(rng.randint(12, 40))}", f"{name()}={word()}{digits(4)}!", f"{name()}: {letters(rng.randint(8, 20))}"]),
-        7: lambda: rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + rng.choice([digits(18), " ".join([""] + [digits(4) for _ in range(2)]), digits(16), " ".join(["", *(digits(4) for _ in range(rng.randint(3, 7))), digits(rng.randint(1, 3))])]),
+        5: lambda: rng.choice(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)), "ghp_" + "".join(rng.choices(string.ascii_letters, k=36)), "sk-" + hexes(32)]),
+        6: lambda: rng.choice([f"{name()}={hexes(rng.randint(8, 40))}", f'{name()} = "{hexes(rng.randint(16, 40))}"', f"{name()}: {hexes(rng.randint(12, 40))}", f"{name()}={word()}{digits(4)}!", f"{name()}: {letters(rng.randint(8, 20))}", f"{name()} = {letters(rng.randint(8, 20))}"]),
+        7: lambda: rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + rng.choice([digits(18), " ".join([""] + [digits(4) for _ in range(2)]), digits(16), " ".join(["", *(digits(4) for _ in range(rng.randint(3, 7))), digits(rng.randint(1, 3))]), " " + " ".join(["".join(rng.choices(string.ascii_uppercase, k=4)), *(digits(4) for _ in range(3)), digits(2)])]),
         8: lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
     }
     others = [
         lambda: f"20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 40)}",
         lambda: f"version {rng.randint(1, 9)}.", lambda: f"CC BY-NC {rng.randint(1, 4)}.0.", lambda: digits(rng.randint(1, 9)), lambda: f"${digits(3)},{digits(3)}.{digits(2)}",
         lambda: f"x={rng.randint(0, 9)}", lambda: f"{word()} = {rng.randint(0, 99)}", lambda: f"{word()}={word()}", lambda: f"@{word()}", lambda: f"{rng.randint(1, 12)}:{digits(2)}", lambda: f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/20{digits(2)}",
-        lambda: f"{rng.randint(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"token {word()}", lambda: f"{digits(2)}%", lambda: f"{word()}{digits(2)}", lambda: f"No. {digits(5)}",
+        *[lambda: f"{rng.randint(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}"] * 3, lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"token {word()}", lambda: f"{digits(2)}%", lambda: f"{word()}{digits(2)}", lambda: f"No. {digits(5)}",
         lambda: " ".join(f"{word()}{digits(rng.randint(1, 4))}" for _ in range(rng.randint(1, 4))), lambda: " ".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 4))),
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: f"{digits(2)} {word()} {digits(3)}", lambda: f"{digits(5)}{word()}", lambda: f"{word()}-{digits(4)}-{word()}", lambda: f"https://{word()}.org/{word()}?id={digits(3)}",
         lambda: " ".join(f"{rng.randint(0, 99)}.{digits(2)}" for _ in range(rng.randint(1, 4))), lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"a@b {digits(2)}", lambda: f"ISBN {digits(3)}-{digits(1)}",
         lambda: " ".join(f"{word()}{digits(rng.randint(1, 2))}" for _ in range(rng.randint(5, LONGEST))),
+        *[lambda: _grouped(rng, _card(rng, valid=False))] * 3, *[lambda: f"{rng.choice(['version', 'v', 'release', 'Version', 'section', 'build'])} {'.'.join(str(rng.randint(0, 40)) for _ in range(rng.choice([3, 4, 4])))}"] * 2,
+        lambda: f"version: {word()}", lambda: f"{word()}-{word()}_{word()}",
     ]
     out = []
     for _ in range(n):
@@ -301,8 +337,10 @@ def examples(n: int, seed: int) -> list[tuple[list[str], list[tuple[int, int, in
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def trained(n: int = 700, epochs: int = 5, seed: int = 20041213) -> Model:
+EXAMPLES, EPOCHS, SEED = 1200, 5, 20041213
+
+
+def train(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """The model after ``epochs`` of adaptive gradient steps on ``n`` generated sequences; the same for equal arguments."""
     k = len(KINDS)
     model = Model(np.zeros((k, len(FEATURES))), np.zeros((k + 1, k)))
@@ -322,6 +360,22 @@ def trained(n: int = 700, epochs: int = 5, seed: int = 20041213) -> Model:
     return model
 
 
+@functools.lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model that ``train`` gives, from the file that holds its weights."""
+    from nearfold.llm import pii_weights
+
+    return Model(np.array(pii_weights.WEIGHT), np.array(pii_weights.CHAIN))
+
+
+def save() -> None:
+    """Trains and writes the file of weights."""
+    model = train()
+    rows = lambda a: "".join("    [" + ", ".join(f"{x:.4f}" for x in r) + "],\n" for r in a)
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.py"), "w", encoding="utf-8") as f:
+        f.write(f'"""Weights that pii.train gives: a row for each kind by feature; then for each kind before by kind."""\n\nWEIGHT = [\n{rows(model.weight)}]\nCHAIN = [\n{rows(model.chain)}]\n')
+
+
 def _stretches(trigger: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of words that spans with a trigger can reach, with one word more at each side, within one text."""
     at = np.flatnonzero(trigger)
@@ -342,9 +396,9 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> list[tuple[
         words = tk.Words(data[base : offsets[b]], offsets[a : b + 1] - base)
         marked, capital = (np.concatenate([[0], np.cumsum(sort[words.data])]) for sort in (_TRIGGER, _CAPITAL))
         trigger = (marked[words.end] > marked[words.start]) | (capital[words.end] - capital[words.start] >= CAPITALS)
-        colons = np.concatenate([[0], np.cumsum(words.data == ord(":"))])
-        for k in np.flatnonzero(~trigger & (colons[words.end] > colons[words.start])).tolist():
-            trigger[k] = _NAMED.search(bytes(words.data[words.start[k] : words.end[k]]).decode("utf-8", "replace")) is not None
+        joints = np.concatenate([[0], np.cumsum(_JOINT[words.data])])
+        for k in np.flatnonzero(~trigger & (joints[words.end] > joints[words.start])).tolist():
+            trigger[k] = triggers(bytes(words.data[words.start[k] : words.end[k]]).decode("utf-8", "replace"))
         for lo, hi in _stretches(trigger, words.row):
             start, end = words.start[lo:hi].tolist(), words.end[lo:hi].tolist()
             text = [bytes(words.data[s:e]).decode("utf-8", "replace") for s, e in zip(start, end)]
@@ -358,16 +412,17 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> list[tuple[
     return out
 
 
-def redact(docs: DataFrame, column: str = "text", spans: str = "spans", length: str | None = None, seed: int = 20041213) -> DataFrame:
+def redact(docs: DataFrame, column: str = "text", spans: str = "spans", length: str | None = None) -> DataFrame:
     """``docs`` with the personal data of ``column`` replaced by its kind in brackets, like ``[email]``.
 
     ``spans`` (an existing column of that name is replaced) lists what was found: characters of the original text from
     ``begin`` to before ``end``, and the kind.  ``length`` may name a column of whole numbers that gets the new length.
 
     Defined results: a null text stays null and has null spans; a text without personal data is unchanged and has an
-    empty list; all rows and all other columns are kept; texts are searched whole.
+    empty list; all rows, repeated ones each, and all other columns are kept; texts are searched whole, however long; of
+    segmentations of equal score the one whose spans are shorter is taken; an empty table gives an empty result.
     """
-    model = trained(seed=seed)
+    model = trained()
     others = [f for f in docs.schema.fields if f.name.lower() != spans.lower()]
     names = [f.name for f in others]
     schema = T.StructType([*others, T.StructField(spans, SPAN_TYPE)])
@@ -405,3 +460,7 @@ def redact(docs: DataFrame, column: str = "text", spans: str = "spans", length:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, kind_of)], names=[*names, spans])
 
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    save()

@@ -359,7 +359,7 @@ def test_held_out_accuracy():
     for ws, gold in pii.examples(500, 99):
         found = model.decode(ws)
         right, made, true = right + len(set(found) & set(gold)), made + len(found), true + len(gold)
-    assert right / made > 0.97 and right / true > 0.97
+    assert right / made > 0.985 and right / true > 0.985
 
 
 def test_redaction_of_the_corpus_kinds(spark):
@@ -375,13 +375,25 @@ def test_redaction_of_the_corpus_kinds(spark):
 
 
 def test_entities_of_many_words_and_secrets_of_letters(spark):
-    found = ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3026 06", "+33 6 12 34 56 78", "4047 0544 3395 3522 123", "password: correcthorse"]
+    found = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3026 06", "+33 6 12 34 56 78", "+33 1 23 45 67 89", "4047 0544 3395 3522", "3782 822463 10005", "6011000990139424", "password: correcthorse", "password = hunterhunter", "ghp_" + "abcXYZ" * 6]
     got = {r["doc_id"]: r for r in pii.redact(docs(spark, [f"send it to {s} and wait" for s in found])).collect()}
     for k, s in enumerate(found):
         (span,) = got[k]["spans"]
         assert f"send it to {s} and wait"[span["begin"] : span["end"]] == s
 
 
+def test_numbers_that_only_look_like_personal_data(spark):
+    """A card's number has a check digit; a version may have four parts."""
+    clean = ["9807915762804490", "1234 5678 9012 3456", "4047-0544-3395-3523", "version 10.2.3.4", "release 1.2.3.4", "771.284.074.36"]
+    got = pii.redact(docs(spark, [f"it is {s} all the same" for s in clean])).collect()
+    assert all(r["spans"] == [] for r in got)
+
+
+def test_the_weights_are_those_of_training():
+    made, held = pii.train(), pii.trained()
+    assert np.abs(made.weight - held.weight).max() < 1e-4 and np.abs(made.chain - held.chain).max() < 1e-4
+
+
 def test_long_texts_are_searched_to_the_end(spark):
     (r,) = pii.redact(docs(spark, ["ab cd " * 400_000 + "me@here.org"])).collect()
     assert r["text"].endswith("[email]") and len(r["spans"]) == 1
