@@ -2,7 +2,7 @@
 
 Two metrics meet in a search, on purpose: partitions are chosen by the raw query against raw centroids, candidates by
 quantized query against quantized vectors.  In the second one "nothing known" (255) is *nearest* to 1.0 (254), although it
-is farthest from it (-1 and 1) in exact search.
+is farthest from it (-1 and 1) in exact search.  Centroids are kept in single precision, and queries in double.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from nearfold.functions import expressions as X
 from nearfold.operators import kmeans
 from nearfold.operators.knn import SENT_BYTES, check_k, sent, top_k
 from nearfold.operators.scoring import running_offsets
+from nearfold.session import ship
+from nearfold.sources.files import read_binary_index, write_binary_index
 
 PROBES = 8
 PROBES_ENV = "IVF_PROBE_COUNT"
 #: Directories of a written index: lists are clustered by partition within this many of them.
 FOLDERS = 128
+#: Vectors that a file of a written index should have.
+FILE_VECTORS = 4_000_000
 
 
 def probe_count(probes: int = 0) -> int:
@@ -62,6 +66,21 @@ class Index:
         row = self.centroids.where(F.col("part_id") == part_id).first()
         return (list(row["centroid"]), row["byte_offset"], row["cnt"]) if row else ([0.0] * self.dims, 0, 0)
 
+    def vector_at(self, part_id: int, place: int) -> list[int]:
+        """The levels of a partition's vector at a place in the order of their numbers, from 0; an IndexError if there is none."""
+        return list(self._at(part_id, place)["levels"])
+
+    def label_at(self, part_id: int, place: int) -> str:
+        """The label of the same."""
+        return X.FRAUD if self._at(part_id, place)["label"] == 1 else X.LEGIT
+
+    def _at(self, part_id: int, place: int):
+        own = self.lists.where((F.col("folder") == part_id % FOLDERS) & (F.col("part_id") == part_id))
+        rows = own.orderBy("vec_id").limit(place + 1).offset(place).collect() if place >= 0 else []
+        if not rows:
+            raise IndexError(f"partition {part_id} has no vector {place}")
+        return rows[0]
+
     def vectors(self, part_id: int) -> DataFrame:
         return self.lists.where(F.col("part_id") == part_id).select("vec_id", "levels", X.label_text(F.col("label")).alias("label"))
 
@@ -84,21 +103,61 @@ def partition_sizes(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 def build(references: DataFrame, centroids: DataFrame, dims: int) -> Index:
     """The index of references(vec_id, vector, label) with centroids(c_id, centroid)."""
     assigned = kmeans.assign(references, centroids, dims)
+    centroids = centroids.withColumn("centroid", F.col("centroid").cast("array<float>"))
     sizes = partition_sizes(assigned, centroids)
     meta = running_offsets(sizes, "part_id", F.col("cnt") * F.lit(dims)).select("part_id", "centroid", "byte_offset", "cnt")
     lists = assigned.select(F.col("c_id").alias("part_id"), F.pmod("c_id", F.lit(FOLDERS)).alias("folder"), "vec_id", X.quantize(F.col("vector")).alias("levels"), X.label_code(F.col("label")).alias("label"))
     return Index(meta, lists, dims)
 
 
-def clustered(lists: DataFrame) -> DataFrame:
-    """Lists with the vectors of a partition together, in the order of their numbers."""
-    return lists.repartition("folder").sortWithinPartitions("folder", "part_id", "vec_id")
+def clustered(lists: DataFrame, vectors: int) -> DataFrame:
+    """Lists with the vectors of a partition together, in the order of their numbers.
+
+    A folder is cut into as many pieces by part_id as give files of FILE_VECTORS, and a task makes one of them.
+    """
+    pieces = max(1, -(-vectors // (FILE_VECTORS * FOLDERS)))
+    piece = F.pmod(F.floor(F.col("part_id") / FOLDERS), F.lit(pieces))
+    return lists.repartition(FOLDERS * pieces, "folder", piece).sortWithinPartitions("folder", "part_id", "vec_id")
 
 
 def write(index: Index, path: str) -> None:
     """Parquet: lists in folders, sorted by partition, so that a search reads the row groups of what it probes."""
     index.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    clustered(index.lists).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/lists")
+    clustered(index.lists, index.vector_count()).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/lists")
+
+
+def from_binary(spark: SparkSession, path: str, dims: int = 14) -> Index:
+    """The searchable index of a binary index file; vec_id numbers the vectors in the file's order."""
+    centroids, counts, levels, labels = read_binary_index(path, dims)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    if offsets[-1] != len(labels):
+        raise ValueError("the partitions' counts don't add up to the vectors")
+    meta = [(i, c, int(o) * dims, int(n)) for i, (c, o, n) in enumerate(zip(centroids.tolist(), offsets, counts))]
+    part = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(labels) * dims + 1, dims, dtype=np.int32)), pa.array(levels.reshape(-1).astype(np.int32)))
+    table = pa.table({"part_id": part, "folder": (part % FOLDERS).astype(np.int32), "vec_id": np.arange(len(labels)), "levels": flat, "label": (labels == 1).astype(np.int32)})
+    return Index(spark.createDataFrame(meta, "part_id int, centroid array<float>, byte_offset long, cnt long"), spark.createDataFrame(table), dims).check()
+
+
+def to_binary(index: Index, path: str) -> None:
+    """Writes the binary index file of an index, whose offsets must fit in 32 bits; partition by partition through the driver."""
+    meta = index.centroids.orderBy("part_id").collect()
+    if [r["part_id"] for r in meta] != list(range(len(meta))):
+        raise ValueError("partitions aren't numbered through from 0")
+    rows = index.lists.select("part_id", "vec_id", "levels", "label").orderBy("part_id", "vec_id")
+    parts = ((np.array([r["levels"] for r in some], np.uint8), np.array([r["label"] for r in some], np.uint8)) for some in _in_lots(rows.toLocalIterator(), 100_000))
+    write_binary_index(path, np.array([r["centroid"] for r in meta], np.float32).reshape(len(meta), index.dims), np.array([r["cnt"] for r in meta], np.int64), parts)
+
+
+def _in_lots(rows, size: int):
+    lot = []
+    for r in rows:
+        lot.append(r)
+        if len(lot) == size:
+            yield lot
+            lot = []
+    if lot:
+        yield lot
 
 
 def load(spark: SparkSession, path: str, dims: int) -> Index:
@@ -106,11 +165,36 @@ def load(spark: SparkSession, path: str, dims: int) -> Index:
 
 
 def probe(queries: DataFrame, index: Index, probes: int = 0) -> DataFrame:
-    """(q_id, rank, part_id, distance): the partitions whose centroids are nearest to the raw query, ties to the lower."""
-    c = F.broadcast(index.centroids.select("part_id", "centroid"))
-    d = X.squared_l2(F.col("vector"), F.col("centroid"), index.dims)
-    pairs = queries.select("q_id", "vector").crossJoin(c).select("q_id", "part_id", d.alias("distance"))
-    return top_k(pairs, probe_count(probes), order=("distance", "part_id"))
+    """(q_id, rank, part_id, distance): the partitions whose centroids are nearest to the raw query, ties to the lower.
+
+    Each query is compared with all centroids, which are sent to the tasks, where it is read; nothing is shuffled or sorted
+    but the distances of one query.
+    """
+    ship(queries.sparkSession)
+    number, c = kmeans.held_centroids(index.centroids, index.dims, "part_id")
+    n = min(probe_count(probes), len(number))
+    kind = queries.schema["q_id"].dataType.simpleString()
+    dims = index.dims
+
+    def run(batches):
+        for batch in batches:
+            v = kmeans.matrix(batch.column("vector"), dims)
+            step = max(1, kmeans.CELLS // max(1, len(c)))
+            for a in range(0, len(v), step):
+                d = kmeans.distances(v[a : a + step, None, :], c[None, :, :])
+                if n < len(c):
+                    # Those at the last distance that counts may be more than are wanted: the lowest numbers are.
+                    limit = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                    row, col = np.nonzero(d <= limit)
+                else:
+                    row, col = (x.reshape(-1) for x in np.indices(d.shape))
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col, rank = row[rank < n], col[rank < n], rank[rank < n]
+                yield pa.RecordBatch.from_arrays([batch.column("q_id").take(pa.array(a + row)), pa.array((rank + 1).astype(np.int32)), pa.array(number[col].astype(np.int32)), pa.array(d[row, col])], names=["q_id", "rank", "part_id", "distance"])
+
+    return queries.select("q_id", "vector").mapInArrow(run, f"q_id {kind}, rank int, part_id int, distance double")
 
 
 def _chosen(queries: DataFrame, index: Index, probes: int, expand_to: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import expressions as X
+from nearfold.operators.kmeans import distances, matrix
 
 #: Bytes of queries that are sent to every task; more are joined without a hint, as blocks against blocks.
 SENT_BYTES = 64 << 20
@@ -33,15 +34,21 @@ def sent(queries: DataFrame, dims: int) -> DataFrame:
     return F.broadcast(queries) if queries.count() * (8 * dims + 16) <= SENT_BYTES else queries
 
 
-def exact_knn(queries: DataFrame, references: DataFrame, k: int = 5, dims: int = 14, strategy: str = "columns", distance: Column | None = None, checked: bool = False) -> DataFrame:
+def exact_knn(queries: DataFrame, references: DataFrame, k: int = 5, dims: int = 14, strategy: str = "columns", distance: Column | None = None, checked: bool = True) -> DataFrame:
     """(q_id, rank, vec_id, distance, label): the k nearest of ``references(vec_id, vector, label)`` to each query.
 
     Ties go to the lower vec_id.  strategy "columns" is an unrolled expression over broadcast queries; "blocks" does the
     same additions in the same order over Arrow batches of references with the queries in each task, and passes on only
-    what can be among the k nearest of its batch.  Both give the same bits.  checked: verifies k against the count first.
+    what can be among the k nearest of its batch.  Both give the same bits.  More queries than can be sent are joined block
+    by block, with the same kernel; see block_join.  checked: k references at least must be there, which reads k of them.
     """
-    check_k(k, references.count() if checked else None)
-    if strategy == "blocks" and queries.count() * (8 * dims + 16) <= SENT_BYTES:
+    check_k(k)
+    if checked and (n := references.limit(k).count()) < k:
+        check_k(k, n)
+    small = queries.count() * (8 * dims + 16) <= SENT_BYTES
+    if distance is None and not small:
+        return top_k(block_join(queries, references, k, dims), k).select("q_id", "rank", "vec_id", "distance", "label")
+    if strategy == "blocks" and small:
         return top_k(_blocks(queries, references, k, dims), k).select("q_id", "rank", "vec_id", "distance", "label")
     q = sent(queries.select("q_id", F.col("vector").alias("__q")), dims)
     d = distance if distance is not None else X.squared_l2(F.col("__q"), F.col("vector"), dims)
@@ -49,6 +56,14 @@ def exact_knn(queries: DataFrame, references: DataFrame, k: int = 5, dims: int =
     return top_k(pairs, k).select("q_id", "rank", "vec_id", "distance", "label")
 
 
+def _near(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of ``q`` and ``v`` that can be among the k nearest, and their squared distances."""
+    d = distances(q[:, None, :], v[None, :, :])
+    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.ones(d.shape, bool)
+    a, b = np.nonzero(near)
+    return a, b, d[a, b]
+
+
 def _blocks(queries: DataFrame, references: DataFrame, k: int, dims: int, rows: int = 1024) -> DataFrame:
     held = queries.select("q_id", "vector").orderBy("q_id").collect()
     ids = np.array([r["q_id"] for r in held], np.int64)
@@ -56,24 +71,53 @@ def _blocks(queries: DataFrame, references: DataFrame, k: int, dims: int, rows:
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(q):
+            if not batch.num_rows or not len(q):
                 continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(n, dims)
-            for at in range(0, n, rows):
-                part = v[at : at + rows]
-                d = np.zeros((len(q), len(part)))
-                for i in range(dims):
-                    x = q[:, i : i + 1] - part[None, :, i]
-                    d += x * x
-                if d.shape[1] > k:
-                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                else:
-                    near = np.ones(d.shape, bool)
-                a, b = np.nonzero(near)
-                spot = pa.array(at + b)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), batch.column("vec_id").take(spot), batch.column("label").take(spot), pa.array(d[a, b])], names=["q_id", "vec_id", "label", "distance"])
+            v = matrix(batch.column("vector"), dims)
+            for at in range(0, len(v), rows):
+                for to in range(0, len(q), rows):
+                    a, b, d = _near(q[to : to + rows], v[at : at + rows], k)
+                    spot = pa.array(at + b)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[to + a]), batch.column("vec_id").take(spot), batch.column("label").take(spot), pa.array(d)], names=["q_id", "vec_id", "label", "distance"])
 
     kinds = {f.name: f.dataType.simpleString() for f in references.schema.fields}
     return references.select("vec_id", "vector", "label").mapInArrow(run, f"q_id long, vec_id {kinds['vec_id']}, label {kinds['label']}, distance double")
+
+
+def block_join(queries: DataFrame, references: DataFrame, k: int, dims: int, block_bytes: int | None = None) -> DataFrame:
+    """(q_id, vec_id, label, distance) of what can be among the k nearest: each block of queries meets each of references.
+
+    Both sides are cut into blocks that fit in a task by hashes of their numbers; queries are copied once for each block of
+    references and the other way round, and each pair of blocks passes on k rows for each query, so the final ranking
+    sees k rows for each query and block of references.
+    """
+    block_bytes = block_bytes or SENT_BYTES
+    size = 8 * dims + 16
+    qs, rs = (int(df.count() * size // block_bytes) + 1 for df in (queries, references))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    a = queries.select("q_id", "vector", F.pmod(F.xxhash64("q_id"), F.lit(qs)).cast("int").alias("__a"), spread(rs, "__b"))
+    b = references.select("vec_id", "vector", "label", F.pmod(F.xxhash64("vec_id"), F.lit(rs)).cast("int").alias("__b"), spread(qs, "__a"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*references.schema.fields, *queries.schema.fields]}
+    kinds = [("q_id", kinds["q_id"]), ("vec_id", kinds["vec_id"]), ("label", kinds["label"]), ("distance", "double")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, v, rows = matrix(left.column("vector"), dims), matrix(right.column("vector"), dims), 1024
+        found = []
+        for at in range(0, len(q), rows):
+            # The best of each part of the references are ranked against each other before they go on.
+            spots, refs, far = (np.concatenate(x) for x in zip(*(_shifted(_near(q[at : at + rows], v[to : to + rows], k), to) for to in range(0, len(v), rows)))) if len(v) else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((far, spots))
+            spots, refs, far = spots[order], refs[order], far[order]
+            last = np.minimum(np.searchsorted(spots, spots) + k, np.searchsorted(spots, spots, side="right")) - 1
+            keep = far <= far[last]
+            found.append((at + spots[keep], refs[keep], far[keep]))
+        if not found:
+            return pa.table({n: pa.array([], c.type) for n, c in (("q_id", left.column("q_id")), ("vec_id", right.column("vec_id")), ("label", right.column("label")))} | {"distance": pa.array([], pa.float64())})
+        spots, refs, far = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"q_id": left.column("q_id").take(pa.array(spots)), "vec_id": right.column("vec_id").take(pa.array(refs)), "label": right.column("label").take(pa.array(refs)), "distance": pa.array(far, pa.float64())})
+
+    return a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInArrow(run, ", ".join(" ".join(x) for x in kinds))
+
+
+def _shifted(found: tuple[np.ndarray, np.ndarray, np.ndarray], by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return found[0], found[1] + by, found[2]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import expressions as X
+from nearfold.operators.ranks import values_at
 
 
 def vote(neighbours: DataFrame, by: str = "q_id", label: str = "label", threshold: float = X.THRESHOLD) -> DataFrame:
@@ -35,15 +36,18 @@ def label_recall(exact: DataFrame, found: DataFrame, k: int = 5, by: str = "q_id
 def order_statistics(values: DataFrame, column: str, by: list[str] | None = None, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """avg, p50, p90, p99, min and max; the p-th is the value at floor(n p) of the sorted ones, the last one at most.
 
-    Ranks are taken by a window, so a group is sorted in pieces that may spill and no list of it is ever held.
+    No group is sorted: see ranks.values_at.
     """
     by = by or []
-    keys = [F.col(c) for c in by] or [F.lit(0)]
-    w = Window.partitionBy(*keys)
-    ranked = values.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__v"), (F.row_number().over(w.orderBy(column)) - 1).alias("__r"), F.count(F.lit(1)).over(w).alias("__n"))
-    rank = lambda p: F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1)
-    at = [F.max(F.when(F.col("__r") == rank(p), F.col("__v"))).alias(f"p{math.floor(p * 100 + 1e-9)}") for p in shares]
-    return ranked.groupBy(*by).agg(F.avg("__v").alias("avg"), *at, F.min("__v").alias("min"), F.max("__v").alias("max"))
+    found = values_at(values, column, by, lambda n: [F.least(F.floor(n * F.lit(p)), n - 1) for p in shares])
+    at = [F.max(F.when(F.col("nth") == k, F.col("value"))).alias(f"p{math.floor(p * 100 + 1e-9)}") for k, p in enumerate(shares)]
+    placed = found.groupBy(*by).agg(*at)
+    plain = values.where(F.col(column).isNotNull()).groupBy(*by).agg(F.avg(column).alias("avg"), F.min(column).alias("min"), F.max(column).alias("max"))
+    names = [*by, "avg", *placed.columns[len(by) :], "min", "max"]
+    if not by:
+        return plain.crossJoin(placed).select(*names)
+    both = plain.alias("a").join(placed.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by])
+    return both.select(*[F.col(f"a.{k}").alias(k) for k in by], *names[len(by) :])
 
 
 def running_offsets(counts: DataFrame, order: str, amount: Column) -> DataFrame:

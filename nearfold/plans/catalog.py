@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from nearfold.functions import expressions as X
 from nearfold.functions.features import NAMES, Config, vectorize, with_risk
 from nearfold.operators import ivf, kmeans, knn, scoring
 from nearfold.plans.engine import Engine
-from nearfold.session import ship
+from nearfold.session import ship, stored
 from nearfold.sources.files import decode_payloads, encode_decisions
 
 DIMS, PARTS, PROBES, K = 64, 16, 4, 5
@@ -196,12 +198,12 @@ def index(spark: SparkSession, sf_dir: str) -> ivf.Index:
 
 
 SEEDS_SQL = f"""n AS (SELECT count(*) AS n FROM r), ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM r),
-seeds AS (SELECT i::INTEGER AS c_id, ranked.v AS c FROM range(0, {PARTS}) t(i) JOIN n ON true JOIN ranked ON pos = i * n // {PARTS}),
+seeds AS (SELECT i::INTEGER AS c_id, ranked.v AS c, list_transform(ranked.v, lambda x: x::FLOAT::DOUBLE) AS cf FROM range(0, {PARTS}) t(i) JOIN n ON true JOIN ranked ON pos = i * n // {PARTS}),
 near AS (SELECT vec_id, c_id, d FROM (SELECT vec_id, c_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c_id) AS nth FROM
   (SELECT vec_id, c_id, {dist_sql('r.v', 'seeds.c')} AS d FROM r CROSS JOIN seeds)) WHERE nth = 1),
 sizes AS (SELECT c_id AS part_id, count(vec_id) AS cnt FROM seeds LEFT JOIN near USING (c_id) GROUP BY c_id)"""
 PROBE_SQL = f"""probe AS (SELECT q_id, rank, part_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, part_id)::INTEGER AS rank FROM
-  (SELECT q_id, c_id AS part_id, {dist_sql('q.v', 'seeds.c')} AS distance FROM q CROSS JOIN seeds)) WHERE rank <= {PROBES})"""
+  (SELECT q_id, c_id AS part_id, {dist_sql('q.v', 'seeds.cf')} AS distance FROM q CROSS JOIN seeds)) WHERE rank <= {PROBES})"""
 IVF_SQL = f"""found AS (SELECT * FROM (SELECT *, {RANKED_SQL} FROM (SELECT q_id, vec_id, label, lr.l, {dist_sql('lq.l', 'lr.l')}::BIGINT AS distance
   FROM probe JOIN near ON near.c_id = probe.part_id JOIN lr USING (vec_id) JOIN lq USING (q_id))) WHERE rank <= {K})"""
 ALL_SQL = f"WITH {VECTORS_SQL}, {LEVELS_SQL}, {SEEDS_SQL}, {PROBE_SQL}, {IVF_SQL}"
@@ -221,8 +223,11 @@ def partition_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's place in its partition."""
-    w = Window.partitionBy("part_id").orderBy("vec_id")
-    return index(spark, sf_dir).lists.select("part_id", "vec_id", "label", (F.row_number().over(w) - 1).alias("place"))
+    lists = stored(ivf.clustered(index(spark, sf_dir).lists, 1), "layout")
+    # Within a partition rows lie in the order that they were written in: their places follow from a file's row numbers.
+    at = lists.select("part_id", "vec_id", "label", F.monotonically_increasing_id().alias("at"))
+    first = at.groupBy("part_id").agg(F.min("at").alias("first"))
+    return at.join(first, "part_id").select("part_id", "vec_id", "label", (F.col("at") - F.col("first")).cast("int").alias("place"))
 
 
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +289,7 @@ def seed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From payload to decision, exactly; orders whose times can't be read are approved with 0.0."""
-    references = seed_labels(spark, sf_dir)
+    references = stored(seed_labels(spark, sf_dir), "references")
     q = vectorize(payloads(spark, sf_dir).where("q_id % 50 = 0 OR q_id % 97 = 0"), CONFIG, risks(spark), "vector")
     ship(spark)
     found = knn.exact_knn(q.where("vector IS NOT NULL").select("q_id", "vector"), references, K, strategy="blocks")
@@ -303,7 +308,7 @@ SELECT q_id, coalesce(fraud_score, 0.0) AS fraud_score, coalesce(approved, true)
 
 def engine_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON requests through the engine: every third is cut off and gets the safe default."""
-    references = seed_labels(spark, sf_dir)
+    references = stored(seed_labels(spark, sf_dir), "references")
     made = ivf.build(references, kmeans.evenly_spaced(references, PARTS), 14)
     p = payloads(spark, sf_dir).where("q_id % 250 = 0")
     text = F.to_json(F.struct(*[c for c in p.columns if c != "q_id"]))
@@ -331,16 +336,73 @@ FAILOPEN_SQL = """SELECT event_id, event_id % 3 <> 0 AS decoded, CASE WHEN event
 CASE WHEN event_id % 3 <> 0 THEN '{"approved":true,"fraud_score":0.4}' ELSE '{"approved":true,"fraud_score":0.0}' END AS value FROM events"""
 
 
+COARSE, FINE, ROUNDS = 4, 4, 2
+
+
 def two_level_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trained index's invariants: its partitions, its vectors, and vectors that lie nearer to another centroid."""
+    """Centroids of both levels from evenly spaced starts: coarse ones by ROUNDS iterations, then FINE of each one's points."""
+    made = kmeans.two_level(split(spark, sf_dir)[1], DIMS, COARSE, FINE, ROUNDS, start="even")
+    return made.select("c_id", "coarse_id", F.posexplode("centroid").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def lloyd_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten iterations from evenly spaced points, and how many vectors each cluster then has."""
     r = split(spark, sf_dir)[1]
-    centroids = kmeans.two_level(r, DIMS, 4, 4, 3)
-    made = ivf.build(r, centroids, DIMS)
-    lists = made.lists.join(r.select("vec_id", "vector"), "vec_id")
-    lists = lists.join(F.broadcast(made.centroids.select("part_id", "centroid")), "part_id").withColumn("own", X.squared_l2(F.col("vector"), F.col("centroid"), DIMS))
-    best = kmeans.assign(r, centroids, DIMS).select("vec_id", "d")
-    astray = lists.join(best, "vec_id").agg(F.count(F.when(F.col("own") > F.col("d"), 1)).alias("astray"))
-    return made.centroids.agg(F.count(F.lit(1)).alias("partitions"), F.sum("cnt").alias("vectors")).crossJoin(astray)
+    centroids = kmeans.lloyd(r, seeds(spark, sf_dir), DIMS, 10, 0.0)
+    sizes = kmeans.assign(r, centroids, DIMS).groupBy("c_id").agg(F.count(F.lit(1)).alias("cnt"))
+    done = centroids.join(sizes, "c_id", "left").select("c_id", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.posexplode("centroid").alias("dim", "value"))
+    return done.withColumn("value", F.round("value", 6))
+
+
+def iterations_sql(name: str, points: str, start: str, rounds: int, by: str = "0") -> str:
+    """CTEs name_0 .. name_rounds(g, c_id, c) from ``start`` over ``points(vec_id, g, v)``; empty clusters keep their centroids."""
+    out = [f"{name}_0 AS MATERIALIZED (SELECT g, c_id, c FROM {start})"]
+    for k in range(rounds):
+        out.append(
+            f"""{name}_n{k} AS MATERIALIZED (SELECT vec_id, g, v, c_id FROM (SELECT p.vec_id, p.g, p.v, s.c_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {dist_sql('p.v', 's.c')}, s.c_id) AS nth
+  FROM {points} p JOIN {name}_{k} s ON s.g = p.g) WHERE nth = 1),
+{name}_m{k} AS MATERIALIZED (SELECT g, c_id, list(mean ORDER BY i) AS c FROM (SELECT g, c_id, i, avg(v[i]) AS mean FROM {name}_n{k} CROSS JOIN range(1, 65) t(i) GROUP BY ALL) GROUP BY g, c_id),
+{name}_{k + 1} AS MATERIALIZED (SELECT s.g, s.c_id, coalesce(m.c, s.c) AS c FROM {name}_{k} s LEFT JOIN {name}_m{k} m ON m.g = s.g AND m.c_id = s.c_id)"""
+        )
+    return ",\n".join(out)
+
+
+LLOYD_TEN_SQL = f"""WITH {VECTORS_SQL}, {SEEDS_SQL}, pts AS (SELECT vec_id, 0 AS g, v FROM r), zero AS (SELECT 0 AS g, c_id, c FROM seeds),
+{iterations_sql('t', 'pts', 'zero', 11)}, cnts AS (SELECT c_id, count(*) AS cnt FROM t_n10 GROUP BY c_id)
+SELECT c_id, coalesce(cnt, 0) AS cnt, (i - 1)::INTEGER AS dim, round(c[i], 6) AS value FROM t_10 LEFT JOIN cnts USING (c_id) CROSS JOIN range(1, 65) t(i)"""
+TWO_LEVEL_SQL = f"""WITH {VECTORS_SQL}, n AS (SELECT count(*) AS n FROM r), ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM r), pts AS (SELECT vec_id, 0 AS g, v FROM r),
+s0 AS (SELECT 0 AS g, i::INTEGER AS c_id, ranked.v AS c FROM range(0, {COARSE}) t(i) JOIN n ON true JOIN ranked ON pos = i * n // {COARSE}),
+{iterations_sql('t', 'pts', 's0', ROUNDS + 1)},
+own AS MATERIALIZED (SELECT vec_id, c_id AS g, v FROM t_n{ROUNDS}), placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM own),
+s1 AS (SELECT g, i::INTEGER AS c_id, v AS c FROM range(0, {FINE}) t(i) JOIN placed ON pos = i * n // {FINE}),
+{iterations_sql('f', 'own', 's1', ROUNDS)}
+SELECT (g * {FINE} + c_id)::INTEGER AS c_id, g::INTEGER AS coarse_id, (i - 1)::INTEGER AS dim, round(c[i], 6) AS value FROM f_{ROUNDS} CROSS JOIN range(1, 65) t(i)"""
+
+
+def binary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written to a binary file, read again and searched."""
+    path = os.path.join(tempfile.mkdtemp(prefix="nearfold-index-"), "index.bin")
+    ivf.to_binary(index(spark, sf_dir), path)
+    back = ivf.from_binary(spark, path, DIMS)
+    sizes = back.centroids.select(F.col("part_id"), "cnt", "byte_offset")
+    found = ivf.search_labels(split(spark, sf_dir)[0], back, K, PROBES).groupBy("q_id").agg(F.sum("distance").alias("distance"), F.sum((F.col("label") == X.FRAUD).cast("int")).alias("frauds"))
+    return found.crossJoin(sizes.agg(F.sum("cnt").alias("vectors"), F.max("byte_offset").alias("last_offset")))
+
+
+BINARY_SQL = f"""{ALL_SQL} SELECT q_id, sum(distance)::BIGINT AS distance, sum((label = 'fraud')::INTEGER)::BIGINT AS frauds, any_value(vectors)::BIGINT AS vectors, any_value(last_offset)::BIGINT AS last_offset
+FROM found CROSS JOIN (SELECT sum(cnt) AS vectors FROM sizes) CROSS JOIN (SELECT max(o) AS last_offset FROM (SELECT coalesce(sum(cnt * 64) OVER (ORDER BY part_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sizes)) GROUP BY q_id"""
+
+
+def strict_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which JSON texts decode: names in any case do, a number for a text doesn't, nor a list of merchants with one."""
+    kind = F.col("event_id") % 6
+    body = F.when(kind == 0, F.lit('{"ID":"a","Transaction":{"AMOUNT":2.5}}')).when(kind == 1, F.lit('{"id":7,"transaction":{"amount":2.5}}')).when(kind == 2, F.lit('{"id":"7","customer":{"known_merchants":["a",5]}}'))
+    body = body.when(kind == 3, F.lit('{"id":"x \\"id\\": 5","transaction":{"amount":2.5}}')).when(kind == 4, F.lit('{"id":null,"customer":{"known_merchants":["a" , "b\\"]"]}}')).otherwise(F.lit('{"merchant":{"mcc":5411}}'))
+    e = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return decode_payloads(e, "body").select("event_id", "decoded", F.coalesce("transaction.amount", F.lit(0.0)).alias("amount"), F.coalesce(F.size("customer.known_merchants"), F.lit(0)).alias("merchants"))
+
+
+STRICT_SQL = """SELECT event_id, event_id % 6 IN (0, 3, 4) AS decoded, CASE WHEN event_id % 6 IN (0, 3) THEN 2.5 ELSE 0.0 END::DOUBLE AS amount, CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END::INTEGER AS merchants FROM events"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -348,7 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_vote, exact_knn, exact_knn_blocks, vectorize_orders, mcc_lookup_default, last_tx_sentinel, hour_weekday_features, known_merchant_flag,
         clamped_ratios, quantize, dequantize, quantized_knn, vector_products, assign_nearest, partition_sizes, partition_offsets, partition_layout,
-        lloyd_step, two_level_training, ivf_probe, ivf_labels, ivf_labels_blocks, ivf_knn, ivf_vote, recall_at_5, latency_percentiles, score_orders, engine_decisions,
+        lloyd_step, lloyd_ten, two_level_training, binary_index, strict_payloads, ivf_probe, ivf_labels, ivf_labels_blocks, ivf_knn, ivf_vote, recall_at_5, latency_percentiles, score_orders, engine_decisions,
         failopen_decisions,
     )
 }
@@ -372,7 +434,10 @@ ORACLE_SQL: dict[str, str] = {
     "partition_offsets": f"WITH {VECTORS_SQL}, {SEEDS_SQL} SELECT part_id, cnt, coalesce(sum(cnt * 64) OVER (ORDER BY part_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM sizes",
     "partition_layout": f"WITH {VECTORS_SQL}, {SEEDS_SQL} SELECT c_id AS part_id, vec_id, (label = 'fraud')::INTEGER AS label, (row_number() OVER (PARTITION BY c_id ORDER BY vec_id) - 1)::INTEGER AS place FROM near JOIN r USING (vec_id)",
     "lloyd_step": LLOYD_SQL,
-    "two_level_training": f"WITH {VECTORS_SQL} SELECT 16::BIGINT AS partitions, count(*) AS vectors, 0::BIGINT AS astray FROM r",
+    "lloyd_ten": LLOYD_TEN_SQL,
+    "two_level_training": TWO_LEVEL_SQL,
+    "binary_index": BINARY_SQL,
+    "strict_payloads": STRICT_SQL,
     "ivf_probe": f"WITH {VECTORS_SQL}, {SEEDS_SQL}, {PROBE_SQL} SELECT * FROM probe",
     "ivf_labels": f"{ALL_SQL} SELECT q_id, rank, vec_id, distance, label FROM found",
     "ivf_labels_blocks": f"{ALL_SQL} SELECT q_id, rank, vec_id, distance, label FROM found",

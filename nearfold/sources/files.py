@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
+import uuid
+from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,16 +59,43 @@ def load_resources(spark: SparkSession, config_path: str, risks_path: str) -> tu
     return config, risks
 
 
+#: Names of the payload's fields at any depth, and those of them that hold text.
+_NAMES = ["id", "transaction", "amount", "installments", "requested_at", "customer", "avg_amount", "tx_count_24h", "known_merchants", "merchant", "mcc", "terminal", "is_online", "card_present", "km_from_home", "last_transaction", "timestamp", "km_from_current"]
+_TEXTS = "id|requested_at|mcc|timestamp"
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def _as_named(text: Column) -> Column:
+    """JSON text with the payload's names in small letters.  A quote within a JSON text has a backslash, so only names match."""
+    small = text
+    for name in _NAMES:
+        small = F.regexp_replace(small, rf'(?i)"{name}"\s*:', f'"{name}":')
+    return F.when(text.rlike(r'"[a-z0-9_]*[A-Z][A-Za-z0-9_]*"\s*:'), small).otherwise(text)
+
+
+def _typed(text: Column) -> Column:
+    """Whether fields that hold text have text or null, and the list of merchants only such."""
+    number = text.rlike(rf'"(?:{_TEXTS})"\s*:\s*[^\s"n]')
+    listed, good = text.rlike(r'"known_merchants"\s*:\s*\['), text.rlike(rf'"known_merchants"\s*:\s*\[\s*(?:(?:{_STRING}|null)\s*(?:,\s*(?:{_STRING}|null)\s*)*)?\]')
+    return ~number & (~listed | good)
+
+
 def decode_payloads(requests: DataFrame, column: str = "value") -> DataFrame:
     """``requests`` with the payload's columns and ``decoded``: whether the text was a payload of the right types.
 
-    A text that isn't decodes to nothing at all, like a record whose types don't fit.
+    A text that isn't decodes to nothing at all, like a record whose types don't fit.  Names count whatever their case; a
+    number is no text.
     """
+    names = requests.columns
+    p, t = "__p", "__t"
+    while {p, t} & {n.lower() for n in names}:
+        p, t = p + "_", t + "_"
     schema = T.StructType([*PAYLOAD.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = requests.withColumn("__p", F.from_json(F.col(column), schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-    good = F.col("__p").isNotNull() & F.col("__p._corrupt").isNull()
-    fields = [F.when(good, F.col(f"__p.{n}")).alias(n) for n in PAYLOAD.names]
-    return parsed.select(*[F.col(f"`{c}`") for c in requests.columns], *fields, F.coalesce(good, F.lit(False)).alias("decoded"))
+    parsed = requests.withColumn(t, _as_named(F.col(f"`{column}`")))
+    parsed = parsed.withColumn(p, F.from_json(F.col(t), schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    good = F.col(p).isNotNull() & F.col(f"{p}._corrupt").isNull() & _typed(F.col(t))
+    fields = [F.when(good, F.col(f"{p}.{n}")).alias(n) for n in PAYLOAD.names]
+    return parsed.select(*[F.col(f"`{c}`") for c in names], *fields, F.coalesce(good, F.lit(False)).alias("decoded"))
 
 
 def encode_decisions(decisions: DataFrame, into: str = "value") -> DataFrame:
@@ -120,15 +150,35 @@ def read_binary_index(path: str, dims: int = DIMS) -> tuple[np.ndarray, np.ndarr
     return table["centroid"], table["count"], np.frombuffer(raw, np.uint8, n * dims, at).reshape(n, dims), np.frombuffer(raw, np.uint8, n, at + n * dims)
 
 
-def write_binary_index(path: str, centroids: np.ndarray, counts: np.ndarray, levels: np.ndarray, labels: np.ndarray) -> None:
-    """The same file: header, centroids with offsets and counts, vectors by partition, labels."""
+def write_binary_index(path: str, centroids: np.ndarray, counts: np.ndarray, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+    """The same file: header, centroids with offsets and counts, vectors by partition, labels.
+
+    parts: levels and labels of the vectors in the partitions' order, in lots; only the labels are held.  The file is
+    written beside its name, flushed to the disk and moved into place, so a reader finds the old one or the whole new one.
+    """
     dims = centroids.shape[1]
     meta = np.zeros(len(counts), np.dtype([("centroid", "<f4", (dims,)), ("offset", "<u4"), ("count", "<u4")]))
     offset = np.concatenate([[0], np.cumsum(counts)[:-1]]) * dims
     if len(offset) and offset.max() >= 1 << 32:
         raise ValueError("offsets beyond 32 bits: write Parquet instead")
     meta["centroid"], meta["offset"], meta["count"] = centroids, offset, counts
-    with open(path, "wb") as f:
-        f.write(HEAD.pack(MAGIC, 1, len(counts), len(labels), dims, 1))
-        for part in (meta, levels.astype(np.uint8), labels.astype(np.uint8)):
-            f.write(part.tobytes())
+    total = int(np.sum(counts))
+    held = []
+    draft = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(draft, "wb", buffering=1 << 16) as f:
+            f.write(HEAD.pack(MAGIC, 1, len(counts), total, dims, 1))
+            f.write(meta.tobytes())
+            for levels, labels in parts:
+                f.write(levels.astype(np.uint8).tobytes())
+                held.append(labels.astype(np.uint8))
+            if sum(map(len, held)) != total:
+                raise ValueError("the partitions' counts don't add up to the vectors")
+            for labels in held:
+                f.write(labels.tobytes())
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(draft, path)
+    finally:
+        if os.path.exists(draft):
+            os.remove(draft)

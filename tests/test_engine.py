@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_features import CONFIG, FRAUD, LEGIT, changed
 
-from nearfold.operators import ivf, kmeans, knn, scoring
+from nearfold import __main__ as commands
+from nearfold import session
+from nearfold.operators import ivf, kmeans, knn, ranks, scoring
 from nearfold.plans.engine import Engine
+from nearfold.serving import server
 from nearfold.sources import files
 from nearfold.streaming.scoring import score_stream
 
@@ -38,9 +41,18 @@ def test_exact_knn_is_sorted_and_both_strategies_agree(queries, references):
 def test_knn_errors(queries, references):
     for k in (0, -1, 121):
         with pytest.raises(ValueError):
-            knn.exact_knn(queries, references, k, checked=True)
+            knn.exact_knn(queries, references, k)
     with pytest.raises(ValueError):
-        knn.exact_knn(queries, references.limit(0), 1, checked=True)
+        knn.exact_knn(queries, references.limit(0), 1)
+
+
+def test_more_queries_than_are_sent_give_the_same(queries, references, monkeypatch):
+    expected = knn.exact_knn(queries, references, 5).orderBy("q_id", "rank").collect()
+    monkeypatch.setattr(knn, "SENT_BYTES", 500)
+    assert knn.exact_knn(queries, references, 5).orderBy("q_id", "rank").collect() == expected
+    # Each pair of blocks passes on k rows for each query, and no more where there are no ties.
+    blocks = 120 * (8 * 14 + 16) // 500 + 1
+    assert knn.block_join(queries, references, 5, 14).count() <= 9 * blocks * 5
 
 
 @pytest.mark.parametrize(("labels", "score", "ok"), [("LLLLL", 0.0, True), ("FFFFF", 1.0, False), ("FFLLL", 0.4, True), ("FFFLL", 0.6, False), ("FFFFL", 0.8, False), ("FFL", 2 / 3, False), ("XXL", 0.0, True)])
@@ -130,7 +142,7 @@ def test_sources(spark, tmp_path):
 def test_binary_index(tmp_path):
     path = str(tmp_path / "index.bin")
     levels = np.arange(42, dtype=np.uint8).reshape(3, 14)
-    files.write_binary_index(path, np.ones((2, 14), np.float32), np.array([1, 2]), levels, np.array([0, 1, 1]))
+    files.write_binary_index(path, np.ones((2, 14), np.float32), np.array([1, 2]), [(levels[:2], np.array([0, 1])), (levels[2:], np.array([1]))])
     c, n, v, labels = files.read_binary_index(path)
     assert c.shape == (2, 14) and n.tolist() == [1, 2] and (v == levels).all() and labels.tolist() == [0, 1, 1]
     raw = open(path, "rb").read()
@@ -140,6 +152,83 @@ def test_binary_index(tmp_path):
             files.read_binary_index(path)
 
 
+def test_binary_index_is_searched_like_the_one_it_was_made_of(spark, references, queries, tmp_path):
+    path = str(tmp_path / "index.bin")
+    made = ivf.build(references, kmeans.evenly_spaced(references, 8), 14)
+    ivf.to_binary(made, path)
+    back = ivf.from_binary(spark, path)
+    rows = lambda i: [tuple(r)[:2] + (r["distance"], r["label"]) for r in ivf.search_labels(queries, i, 5, 3).orderBy("q_id", "rank").collect()]
+    assert rows(back) == rows(made)
+    assert [back.partition(p)[1:] for p in range(8)] == [made.partition(p)[1:] for p in range(8)]
+    assert back.vector_at(2, 1) == made.vector_at(2, 1) and back.label_at(2, 1) == made.label_at(2, 1)
+    with pytest.raises(IndexError):
+        made.vector_at(2, 10**6)
+    with pytest.raises(ValueError):
+        files.write_binary_index(path, np.ones((1, 14), np.float32), np.array([5]), [])
+    assert rows(ivf.from_binary(spark, path)) == rows(made)  # what fails leaves the old file
+
+
+def test_nearest_by_product_and_by_distance():
+    rng = np.random.default_rng(3)
+    v, c = np.round(rng.random((700, 14)), 1), np.round(rng.random((60, 14)), 1)
+    c[7] = c[3]  # ties
+    at, d = kmeans.nearest(v, c)
+    every = kmeans.distances(v[:, None, :], c[None])
+    assert (at == every.argmin(axis=1)).all() and (d == every.min(axis=1)).all()
+
+
+def test_values_at_ranks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(x)) for g in (1, 2, None) for x in np.concatenate([np.round(rng.normal(size=300), 1), [1e9, -1e9, 5.0]])] + [(4, 7.0)] * 50
+    got = {(r["g"], r["nth"]): r["value"] for r in ranks.values_at(spark.createDataFrame(rows, "g int, v double"), "v", ["g"], lambda n: [F.lit(0), F.floor(n * 0.5), n - 1]).collect()}
+    for g in (1, 2, None, 4):
+        own = sorted(v for x, v in rows if x == g)
+        assert [got[g, k] for k in range(3)] == [own[0], own[len(own) // 2], own[-1]]
+
+
+def test_server(spark, engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    made = server(engine, 0, "127.0.0.1")
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{made.server_address[1]}"
+    ask = lambda path, body=None: (lambda r: (r.status, r.read().decode()))(urllib.request.urlopen(url + path, body, timeout=90))
+    with pytest.raises(urllib.error.HTTPError, match="503"):
+        ask("/ready")
+    assert ask("/fraud-score", b"{}") == (200, '{"approved":true,"fraud_score":0.0}')
+    engine.prime()
+    assert ask("/ready") == (200, '{"status":"ready"}')
+    status, body = ask("/fraud-score", json.dumps(FRAUD).encode())
+    assert status == 200 and set(json.loads(body)) == {"approved", "fraud_score"}
+    assert ask("/fraud-score", b"\xff{") == (200, '{"approved":true,"fraud_score":0.0}')
+    with pytest.raises(urllib.error.HTTPError, match="404"):
+        ask("/other")
+    made.shutdown()
+    made.service.close()
+    engine.close()
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    with gzip.open(tmp_path / "refs.json.gz", "wt") as f:
+        json.dump([{"vector": [float(x) for x in rng.random(14)], "label": "fraud" if i % 4 == 0 else "legit"} for i in range(200)], f)
+    for output in ("index", "index.bin"):
+        made = commands.index(spark, str(tmp_path / "refs.json.gz"), str(tmp_path / output), 4, 3, 2, 42)
+        assert made.vector_count() == 200 and commands.load(spark, str(tmp_path / output)).partition_count() == 12
+    told = commands.bench(spark, str(tmp_path / "index"), 20, 5, 4, 1)
+    assert 0 < told["label_recall"] <= 1 and told["seconds"]["p50"] > 0 and told["memory_mb"]["most"] > 0
+
+
+def test_sweeping(spark):
+    one = session.stored(spark.range(5), "thing")
+    session.cut(spark.range(3))
+    assert session.sweep(spark) >= 2 and session.sweep(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        one.count()
+
+
 @pytest.fixture(scope="module")
 def engine(spark, references):
     risks = spark.createDataFrame([("5411", 0.15)], "mcc string, risk double")
