@@ -2,92 +2,93 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest number of bits of an identifier filter (16 MB); with more identifiers it only lets more rows through.
-FILTER_BITS = 1 << 27
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, a single machine) a temporary one is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext._jsc.sc()
-    if not named:
-        made = context.getCheckpointDir()
-        named = made.get().rsplit("/", 1)[0] if made.isDefined() else tempfile.mkdtemp(prefix="nearfold-")
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
+from nearfold.session import cut, new_folder, stored
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write narrow rows to the shared folder and go on from there; Spark's cleaner drops them when unused."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["IdFilter", "connected_components", "cut", "keep_candidates", "new_folder", "row_bytes", "stored", "unused", "verified_edges", "with_leader", "with_owned_leader"]
 
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A folder's name in the shared folder; it begins with the application's, so that ``sweep`` finds it."""
-    return f"{shared_dir(spark).rstrip('/')}/nearfold-{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """As ``cut``, but as Parquet, for many or wide rows: compressed, and read column by column."""
-    folder = new_folder(df.sparkSession, what)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove what this application wrote to the shared folder under new_folder; results that read it are then void."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/nearfold-{spark.sparkContext.applicationId}-*")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in system.globStatus(path) or []:
-        system.delete(found.getPath(), True)
+#: Largest number of bits of an identifier filter (16 MB); with more identifiers it only lets more rows through.
+FILTER_BITS = 1 << 27
 
 
 class IdFilter:
-    """A bitmap of hashed identifiers of fixed greatest size, for dropping rows before a join.
+    """A bitmap of identifiers of fixed greatest size, for dropping rows before a join.
 
     It never drops an identifier that was put in, so the join after it decides; its size doesn't grow past
-    ``FILTER_BITS`` with the data.
+    ``FILTER_BITS`` with the data.  hashed: the identifiers are hashes already, and are looked up by ``has_hashed``.
     """
 
-    def __init__(self, ids: DataFrame, column: str):
+    def __init__(self, ids: DataFrame, column: str, hashed: bool = False):
+        self.column, self.hashed = column, hashed
         n = ids.count()
         self.bits = int(min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length())))
-        spot = F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
-        parts = (
-            ids.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p"))
-            .groupBy("b")
-            .agg(F.bitmap_construct_agg("p").alias("m"))
-            .collect()
-        )
+        bucket, position = self._spot()
+        parts = ids.select(bucket.alias("b"), position.alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
         bitmap = np.zeros(((self.bits >> 15) + 1, 4096), np.uint8)
         for part in parts:
             bitmap[part["b"]] = np.frombuffer(bytes(part["m"]), np.uint8)
         self.bitmap = bitmap.reshape(-1)
-        self.n = n
 
-    @staticmethod
-    def spot(column: str, bits: int):
-        """The bucket number and bit position columns that ``may_have`` takes."""
-        at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    def _spot(self):
+        own = F.col(self.column)
+        at = F.pmod(own if self.hashed else F.xxhash64(own), F.lit(self.bits))
         return F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
 
-    def may_have(self, bucket: np.ndarray, position: np.ndarray) -> np.ndarray:
-        byte = self.bitmap[bucket.astype(np.int64) * 4096 + (position >> 3)]
-        return (byte >> (position & 7).astype(np.uint8)) & 1 == 1
+    def _set(self, byte: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return (self.bitmap[byte] >> bit.astype(np.uint8)) & 1 == 1
+
+    def has_hashed(self, h: np.ndarray) -> np.ndarray:
+        """Which of some hashes may be in; the same place as bitmap_bucket_number and bitmap_bit_position give."""
+        at = np.mod(h.view(np.int64), self.bits)
+        # Bucket numbers begin at 1 for places from 1 on, and at 0 for the place 0.
+        bucket, position = np.where(at > 0, 1 + ((at - 1) >> 15), 0), np.where(at > 0, (at - 1) & 32767, 0)
+        return self._set(bucket * 4096 + (position >> 3), position & 7)
+
+    def kept(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        """The rows of ``df`` (the column and ``carry``) whose identifier may be in."""
+        names = [self.column, *carry]
+        b, p = unused("__b", names), unused("__p", names)
+        bucket, position = self._spot()
+        source = df.select(*[F.col(f"`{n}`") for n in names], bucket.alias(b), position.alias(p)).where(F.col(f"`{self.column}`").isNotNull())
+
+        def scan(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    at = batch.column(b).to_numpy(zero_copy_only=False).astype(np.int64)
+                    position = batch.column(p).to_numpy(zero_copy_only=False)
+                    ok = self._set(at * 4096 + (position >> 3), position & 7)
+                    if ok.any():
+                        yield batch.select(names).filter(pa.array(ok))
+
+        return source.mapInArrow(scan, df.select(*[F.col(f"`{n}`") for n in names]).schema)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that isn't among ``taken``, whatever their case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def row_bytes(df: DataFrame):
+    """About how many bytes a row has in memory, with all its columns."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        own = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(own), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(own))), F.lit(0))
+        total = total + 8
+    return total.cast("long")
 
 
 def keep_candidates(df: DataFrame, ids: DataFrame, column: str, carry: list[str]) -> DataFrame:
@@ -95,21 +96,7 @@ def keep_candidates(df: DataFrame, ids: DataFrame, column: str, carry: list[str]
 
     A bitmap drops most others while they are scanned, so that the join moves little more than what it keeps.
     """
-    held = IdFilter(ids, column)
-    bucket, position = IdFilter.spot(column, held.bits)
-    source = df.select(column, *carry, bucket.alias("__b"), position.alias("__p")).where(F.col(column).isNotNull())
-    names = [column, *carry]
-
-    def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ok = held.may_have(batch.column("__b").to_numpy(zero_copy_only=False), batch.column("__p").to_numpy(zero_copy_only=False))
-                if ok.any():
-                    yield batch.select(names).filter(pa.array(ok))
-
-    schema = df.select(column, *carry).schema
-    passed = source.mapInArrow(scan, schema)
-    return passed.join(ids.select(column).distinct(), column, "left_semi")
+    return IdFilter(ids, column).kept(df, carry).join(ids.select(column).distinct(), column, "left_semi")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -145,48 +132,84 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def with_leader(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``.
+    """The rows (bucket, node) of buckets with more than one node, and the bucket's least node as ``leader``."""
+    of_bucket = Window.partitionBy("bucket")
+    both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
+    return stored(both.where("leader != last").select("bucket", "node", "leader"), "members")
+
 
-    With a column ``owner``, the leader's as ``leads``; buckets of which one owner has all nodes are dropped.
+def _owned(bucket: np.ndarray, node: np.ndarray, owners: np.ndarray) -> pa.RecordBatch | None:
+    """See with_owned_leader, for whole buckets in order."""
+    # One row for each node of a bucket.
+    at = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]))
+    bucket, node, owners = bucket[at], node[at], np.add.reduceat(owners, at)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(first, append=len(bucket))
+    ok = np.repeat(np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first), size)
+    columns = [bucket, node, np.repeat(node[first], size), owners, np.repeat(owners[first], size)]
+    return pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], names=["bucket", "node", "leader", "owners", "leads"]) if ok.any() else None
+
+
+def with_owned_leader(rows: DataFrame) -> DataFrame:
+    """As with_leader, for rows (bucket, node, owners), with the ``owners`` of each node and those of the leader as ``leads``.
+
+    owners is a sum of hashes of a node's owners; a node may have several rows, whose sums are added.  Buckets of which all
+    nodes have the same owners are dropped.  Rows come sorted by bucket (Spark spills what doesn't fit), and one bucket is
+    looked at at a time.
     """
-    of_bucket = Window.partitionBy("bucket")
-    if "owner" not in rows.columns:
-        both = rows.withColumn("leader", F.min("node").over(of_bucket)).withColumn("last", F.max("node").over(of_bucket))
-        return cut(both.where("leader != last").select("bucket", "node", "leader"))
-    # A node without an owner belongs to several: it is no other node's owner's.
-    first = F.min(F.struct("node", "owner")).over(of_bucket)
-    both = rows.withColumn("first", first).withColumn("last", F.max("node").over(of_bucket))
-    both = both.withColumn("lo", F.min("owner").over(of_bucket)).withColumn("hi", F.max("owner").over(of_bucket)).withColumn("open", F.max(F.col("owner").isNull()).over(of_bucket))
-    both = both.where("first.node != last AND (open OR lo != hi)")
-    return cut(both.select("bucket", "node", "owner", F.col("first.node").alias("leader"), F.col("first.owner").alias("leads")))
-
-
-def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "node", "owners")]
+            bucket = columns[0]
+            # The last bucket may go on in the next batch.
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut or (held and held[0][0][0] != bucket[0]):
+                whole = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])]
+                held = []
+                if (made := _owned(*whole)) is not None:
+                    yield made
+            held.append([c[cut:] for c in columns])
+        if held and (made := _owned(*(np.concatenate(x) for x in zip(*held)))) is not None:
+            yield made
+
+    in_order = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    return stored(in_order.mapInArrow(run, "bucket long, node long, leader long, owners long, leads long"), "members")
+
+
+def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: list[str] | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Edges (a, b) with the same components as all pairs (a, b) of nodes that share a bucket and that ``verify`` keeps.
 
     members: (bucket, node, leader) as with_leader gives them, of buckets with more than one node.  Each node is checked against its bucket's leader,
     which is linear.  Every pair of a bucket whose nodes aren't in one component by then is checked as well; a pair within
-    a component can't change the components.  No bucket or pair is left out, but for pairs with the same ``owner`` if
-    members have one.
+    a component can't change the components.  No bucket or pair is left out, but for pairs with the same ``owners`` if
+    members have them, and pairs of which a sketch already shows that verify won't keep them: alike(p, q) is the condition
+    on the columns ``sketch`` of nodes that two aliases name; the leader's have the prefix ``leader_``.
     """
-    owned = "owner" in members.columns
-    star = members.where("node != leader" + " AND (owner = leads) IS NOT TRUE" * owned).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    found = cut(verify(star))
+    owned, sketch = "owners" in members.columns, sketch or []
+    star = members.where("node != leader" + " AND owners != leads" * owned)
+    if alike is not None:
+        star = star.where(alike("", "leader_"))
+    found = stored(verify(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "edges")
     labels = connected_components(found).withColumnRenamed("node", "named")
     of_bucket = Window.partitionBy("bucket")
     apart = (
         members.join(labels, members.node == labels.named, "left")
-        .select("bucket", "node", "leader", *["owner"] * owned, F.coalesce("label", "node").alias("label"))
+        .select("bucket", "node", "leader", *["owners"] * owned, *sketch, F.coalesce("label", "node").alias("label"))
         .withColumn("lo", F.min("label").over(of_bucket))
         .withColumn("hi", F.max("label").over(of_bucket))
         .where("lo != hi AND node != leader")
-        .select("bucket", "node", *["owner"] * owned, "label")
-        .distinct()
+        .select("bucket", "node", *["owners"] * owned, *sketch, "label")
     )
-    apart = cut(apart)
+    apart = stored(apart, "apart")
     p, q = apart.alias("p"), apart.alias("q")
     other = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
     if owned:
-        other &= F.expr("(p.owner = q.owner) IS NOT TRUE")
+        other &= F.col("p.owners") != F.col("q.owners")
+    if alike is not None:
+        other &= alike("p.", "q.")
     rest = p.join(q, other)
-    return found.union(cut(verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())))
+    return found.union(stored(verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()), "edges"))
