@@ -17,14 +17,28 @@ def make(folder: str) -> None:
     at.create_dir(path, recursive=True)
 
 
+class Draft:
+    """A file that is written under a name of its own and moved into place when it is whole: others never see half of it."""
+
+    def __init__(self, folder: str, name: str):
+        self.at, path = opened(folder)
+        self.name, self.draft, self.size = f"{path}/{name}", f"{path}/.{name}.{uuid.uuid4().hex}", 0
+        self.out = self.at.open_output_stream(self.draft, compression=None)
+
+    def write(self, part: bytes) -> None:
+        self.out.write(part)
+        self.size += len(part)
+
+    def finish(self) -> None:
+        self.out.close()
+        self.at.move(self.draft, self.name)
+
+
 def put(folder: str, name: str, parts: list[bytes]) -> None:
-    """Write under a name of its own and move into place: readers and other attempts never see half a file."""
-    at, path = opened(folder)
-    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with at.open_output_stream(draft) as out:
-        for part in parts:
-            out.write(part)
-    at.move(draft, f"{path}/{name}")
+    made = Draft(folder, name)
+    for part in parts:
+        made.write(part)
+    made.finish()
 
 
 def get(folder: str, name: str, begin: int = 0, length: int | None = None) -> bytes:
