@@ -4,16 +4,22 @@ A document's shard is a seeded hash of its key.  A shard is two files: the ids o
 one after another (2 bytes each if the vocabulary allows it), and an index.  The index is a minimal perfect hash of the
 shard's keys (levels of bit arrays with ranks, as in Limasset and others, "Fast and scalable minimal perfect hashing",
 2017): it maps a key to a slot 0 .. n - 1; slots hold a 32-bit fingerprint of their key, so that a foreign key is noticed,
-and the place where the document's ids begin.  A lookup reads one slot and one slice, whatever the size of the corpus.
+and the place where the document's ids begin.  A lookup reads a few words of the index - a bit and a rank for each level that
+it tries, one slot - and one slice of the ids, whatever the size of the corpus; a task with so many keys that this would be
+more than the index itself reads that whole.
 
-Texts are encoded where they are read; the one shuffle moves the encoded ids to their shards.  A shard's task makes both
-files in memory and moves them into place, so running it again gives the same files.
+Texts are encoded where they are read; the one shuffle moves the encoded ids to their shards, one to a task.  A shard's task
+makes both files in memory and moves them into place, so running it again gives the same files.  The number of shards, which
+a lookup needs, is in the folder's manifest.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,7 @@ from nearfold.llm.frames import new_folder
 #: Bytes of text that a shard should have.
 SHARD_BYTES = 32 << 20
 GAMMA = 2.0
+MANIFEST = "manifest.json"
 MAGIC = 0x31584449464E
 ENTRY_SCHEMA = "doc_id long, shard int, slot long, fingerprint long, byte_offset long, n_ids long"
 
@@ -42,7 +49,7 @@ class PerfectHash:
     def __init__(self, bits: np.ndarray, sizes: np.ndarray):
         self.bits, self.sizes = bits, sizes
         self.base = np.concatenate([[0], np.cumsum(sizes)])
-        self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))])
+        self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))])[: len(bits)]
 
     @classmethod
     def of(cls, keys: np.ndarray) -> PerfectHash:
@@ -82,26 +89,71 @@ class Index:
 
     def to_bytes(self) -> list[bytes]:
         head = np.array([MAGIC, self.width, len(self.prints), len(self.hashed.sizes), len(self.hashed.bits)], "<i8")
-        return [head.tobytes(), self.hashed.sizes.astype("<i8").tobytes(), self.hashed.bits.astype("<u8").tobytes(), self.offsets.astype("<i8").tobytes(), self.prints.astype("<u4").tobytes()]
+        return [head.tobytes(), self.hashed.sizes.astype("<i8").tobytes(), self.hashed.bits.astype("<u8").tobytes(), self.hashed.rank.astype("<i8").tobytes(), self.offsets.astype("<i8").tobytes(), self.prints.astype("<u4").tobytes()]
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Index:
-        magic, width, n, levels, words = np.frombuffer(raw, "<i8", 5).tolist()
-        if magic != MAGIC:
-            raise ValueError("not an index of this kind")
-        at = 40
+        width, n, levels, words = _head(raw)
+        at = HEAD
         sizes = np.frombuffer(raw, "<i8", levels, at)
         bits = np.frombuffer(raw, "<u8", words, at := at + 8 * levels)
-        offsets = np.frombuffer(raw, "<i8", n + 1, at := at + 8 * words)
+        offsets = np.frombuffer(raw, "<i8", n + 1, at := at + 16 * words)
         prints = np.frombuffer(raw, "<u4", n, at + 8 * (n + 1))
         return cls(PerfectHash(bits, sizes), prints, offsets, width)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or -1 where the fingerprint says that the key isn't here."""
+    def places(self, keys: np.ndarray) -> list[tuple[int, int] | None]:
+        """Where each key's ids begin and end, or None where the fingerprint says that the key isn't here."""
         slot = self.hashed.slots(keys)
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == fingerprints(keys)[ok]
-        return np.where(ok, slot, -1)
+        return [tuple(self.offsets[s : s + 2].tolist()) if o else None for s, o in zip(slot.tolist(), ok.tolist())]
+
+
+HEAD = 40
+
+
+def _head(raw: bytes) -> tuple[int, int, int, int]:
+    magic, width, n, levels, words = np.frombuffer(raw, "<i8", 5).tolist()
+    if magic != MAGIC:
+        raise ValueError("not an index of this kind")
+    return width, n, levels, words
+
+
+class StoredIndex:
+    """The same of an index that stays where it is: a few words are read for each key."""
+
+    def __init__(self, file):
+        self.file = file
+        self.width, self.n, levels, words = _head(self.file.read_at(HEAD, 0))
+        self.sizes = np.frombuffer(self.file.read_at(8 * levels, HEAD), "<i8").tolist()
+        self.bits = HEAD + 8 * levels
+        self.ranks = self.bits + 8 * words
+        self.offsets = self.ranks + 8 * words
+        self.prints = self.offsets + 8 * (self.n + 1)
+
+    def _at(self, kind: str, base: int, k: int, count: int = 1) -> list[int]:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(size * count, base + size * k), kind).tolist()
+
+    def places(self, keys: np.ndarray) -> list[tuple[int, int] | None]:
+        out: list[tuple[int, int] | None] = []
+        for j in range(len(keys)):
+            key, base, found = keys[j : j + 1], 0, None
+            for level, size in enumerate(self.sizes):
+                at = base + int(_scrambled(key, level + 1)[0] % np.uint64(size))
+                (word,) = self._at("<u8", self.bits, at >> 6)
+                if word >> (at & 63) & 1:
+                    slot = self._at("<i8", self.ranks, at >> 6)[0] + (word & ((1 << (at & 63)) - 1)).bit_count()
+                    if self._at("<u4", self.prints, slot)[0] == int(fingerprints(key)[0]):
+                        found = tuple(self._at("<i8", self.offsets, slot, 2))
+                    break
+                base += size
+            out.append(found)
+        return out
+
+
+#: Bytes that a key's lookup reads of a stored index, about.
+KEY_BYTES = 64
 
 
 def shard_name(shard: int) -> str:
@@ -134,15 +186,20 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str = bpe.VOC
 
     Defined results: a null doc_id is no key and a null text no document, both are left out; an empty text has no ids; of
     rows that share a doc_id the one whose encoded bytes are least is stored; other columns are ignored; an empty table
-    writes nothing; texts of any length are stored whole.
+    writes no shard; texts of any length are stored whole.
     """
     folder = folder or new_folder(docs.sparkSession, "shards")
     files.make(folder)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
     width = 2 if bpe.codec(path).size <= 1 << 16 else 4
+    files.put(folder, MANIFEST, [json.dumps({"shards": shards, "width": width}).encode()])
 
-    def write(table: pa.Table) -> pa.Table:
+    def write(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
         shard = table.column("shard")[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         keys = table.column("doc_id").to_numpy()
@@ -150,46 +207,43 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str = bpe.VOC
         new[1:] = keys[1:] != keys[:-1]
         table, keys = table.filter(pa.array(new)), keys[new]
         hashed = PerfectHash.of(keys)
-        slot = hashed.slots(keys)
-        order = np.argsort(slot)
+        order = np.argsort(hashed.slots(keys))
         payload = table.column("ids").combine_chunks()
-        data, ends = tk.text_buffer(payload)
-        length = np.diff(ends)[order]
+        length = np.diff(tk.text_buffer(payload)[1])[order]
         offsets = np.concatenate([[0], np.cumsum(length)])
-        laid = payload.take(pa.array(order))
-        files.put(folder, shard_name(shard) + ".ids", [tk.text_buffer(laid)[0].tobytes()])
+        files.put(folder, shard_name(shard) + ".ids", [tk.text_buffer(payload.take(pa.array(order)))[0].tobytes()])
         index = Index(hashed, fingerprints(keys)[order], offsets, width)
         files.put(folder, shard_name(shard) + ".idx", index.to_bytes())
         columns = {"doc_id": keys[order], "shard": np.full(len(keys), shard, np.int32), "slot": np.arange(len(keys)), "fingerprint": index.prints.astype(np.int64), "byte_offset": offsets[:-1], "n_ids": length // width}
-        return pa.table(columns)
+        yield from pa.table(columns).to_batches()
 
-    return payloads(docs, path).withColumn("shard", shard_of(shards)).groupBy("shard").applyInArrow(write, ENTRY_SCHEMA)
+    return payloads(docs, path).withColumn("shard", shard_of(shards)).repartitionById(shards, "shard").mapInArrow(write, ENTRY_SCHEMA)
 
 
-def lookup(keys: DataFrame, folder: str, shards: int) -> DataFrame:
-    """(doc_id, ids) for every row of ``keys(doc_id)``: array<int>, or null if the folder has no such key.
+def lookup(keys: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, ids) for every row of ``keys(doc_id)``: array<int>, or null if the folder has no such key, as it has no null.
 
-    ``shards`` is the number that the folder was written with.  Keys go to the task that has their shard open.
+    Keys go to the task that has their shard open; equal keys are looked up each.
     """
+    shards = json.loads(files.get(folder, MANIFEST))["shards"]
 
     def run(table: pa.Table) -> pa.Table:
+        wanted = table.column("doc_id")
+        nothing = pa.table({"doc_id": wanted, "ids": pa.nulls(len(wanted), pa.list_(pa.int32()))})
         shard = table.column("shard")[0].as_py()
-        wanted = table.column("doc_id").to_numpy()
-        try:
-            index = Index.from_bytes(files.get(folder, shard_name(shard) + ".idx"))
-        except FileNotFoundError:
-            return pa.table({"doc_id": wanted, "ids": pa.nulls(len(wanted), pa.list_(pa.int32()))})
-        kind = np.dtype("<u2") if index.width == 2 else np.dtype("<u4")
-        out = []
+        if shard is None:
+            return nothing
         at, path = files.opened(folder)
-        with at.open_input_file(f"{path}/{shard_name(shard)}.ids") as f:
-            for s in index.find(wanted).tolist():
-                if s < 0:
-                    out.append(None)
-                else:
-                    begin, end = index.offsets[s : s + 2].tolist()
-                    f.seek(begin)
-                    out.append(np.frombuffer(f.read(end - begin), kind).astype(np.int32))
+        name = f"{path}/{shard_name(shard)}"
+        if at.get_file_info(name + ".idx").type == fs.FileType.NotFound:
+            return nothing
+        out = []
+        with at.open_input_file(name + ".idx") as i, at.open_input_file(name + ".ids") as f:
+            index = StoredIndex(i) if len(wanted) * KEY_BYTES < i.size() else Index.from_bytes(i.read())
+            kind = np.dtype("<u2") if index.width == 2 else np.dtype("<u4")
+            for place in index.places(wanted.to_numpy()):
+                out.append(None if place is None else np.frombuffer(f.read_at(place[1] - place[0], place[0]), kind).astype(np.int32))
         return pa.table({"doc_id": wanted, "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    return keys.select("doc_id").where("doc_id IS NOT NULL").withColumn("shard", shard_of(shards)).groupBy("shard").applyInArrow(run, "doc_id long, ids array<int>")
+    own = shard_of(shards)
+    return keys.select("doc_id").withColumn("shard", F.when(F.col("doc_id").isNotNull(), own)).groupBy("shard").applyInArrow(run, "doc_id long, ids array<int>")

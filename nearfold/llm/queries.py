@@ -45,7 +45,7 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffled.shuffle(table(spark, sf_dir, "documents"))
+    return shuffled.write_shuffled(table(spark, sf_dir, "documents"))
 
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
