@@ -5,12 +5,14 @@ that repeat the word before and of three-word runs that occurred before, and the
 towards a usual rate by ``SHRINK`` words and put on the logit scale, so that short texts aren't outliers by chance.
 
 For each (language, source) the mean and covariance of the most compact ``SHARE`` of its documents are found by
-concentration steps from a deterministic robust start (coordinatewise medians and median deviations, as in DetMCD): take
-the documents with the least Mahalanobis distances, estimate again, repeat.  All documents take part at every step.  A step
-is two aggregations over the narrow statistics, partial on the map side, so a hot source costs no more than others; the
-order statistics come from counts in fine bins, which are exact to a bin's width and don't depend on how data are split.
-Documents beyond the cut-off are rejected.  Texts are never shuffled: estimates are joined by broadcast while there are at
-most ``SENT_GROUPS`` of them, and by Spark's choice otherwise.
+concentration steps: take the documents with the least Mahalanobis distances, estimate again, repeat.  They begin at several
+deterministic robust starts, as in DetMCD (Hubert, Rousseeuw and Verdonck, 2012): medians and median deviations with no
+correlation, with that of hyperbolic tangents, and with that of spatial signs.  After ``FIRST_STEPS`` the start with the least
+determinant goes on until no determinant falls any more.  All documents take part at every step.  A step is two aggregations
+over the narrow statistics, partial on the map side, so a hot source costs no more than others; the order statistics come
+from counts in fine bins, which are exact to a bin's width and don't depend on how data are split.  Documents beyond the
+cut-off are rejected.  Texts are never shuffled: estimates are joined by broadcast while there are at most ``SENT_GROUPS`` of
+them, and by Spark's choice otherwise.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.llm import textkernel as tk
-from nearfold.llm.frames import cut
+from nearfold.llm.frames import cut, unused
 
 DIM = 5
 SHARE = 0.75
 SHRINK = 50
-STEPS = 5
+#: Concentration steps from every start, and the most steps in all; they end when no logarithm of a determinant falls by SETTLED.
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 40, 1e-3
+STARTS = ("none", "tanh", "sign")
 #: The least deviation that counts, on the logit scale: added to every estimate's spread.
 FLOOR = 0.15
 #: Squared distance beyond which a document is rejected: a chi-squared variable of 5 degrees exceeds it once in 7e8.
 CUTOFF = 50.0
-#: Documents a group needs for estimates of its own; smaller ones use their language's, then those of all.
+#: Documents a group needs for estimates of its own (four for each statistic); smaller ones use their language's, then those
+#: of all.  An estimate of fewer is singular or as good as that.
 LEAST = 20
 SENT_GROUPS = 20_000
 
@@ -101,14 +106,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def unused(name: str, taken: list[str]) -> str:
-    """A column name that isn't among ``taken``, whatever their case."""
-    held = {t.lower() for t in taken}
-    while name.lower() in held:
-        name += "_"
-    return name
-
-
 def with_statistics(docs: DataFrame, carry: list[str], names: list[str]) -> DataFrame:
     """The columns ``carry`` and the statistics of ``text`` as doubles of the given names."""
     fields = [docs.schema[c] for c in carry]
@@ -154,32 +151,109 @@ def _distance() -> Column:
     return total
 
 
+def _upper(p: np.ndarray) -> np.ndarray:
+    """Symmetric matrices from rows of their upper triangles."""
+    out = np.zeros((len(p), DIM, DIM))
+    i, j = np.triu_indices(DIM)
+    out[:, i, j] = out[:, j, i] = p
+    return out
+
+
+def _columns(batch: pa.RecordBatch, names: str) -> list[np.ndarray]:
+    return [np.array(batch.column(c).to_pylist(), float) for c in names.split()]
+
+
+ESTIMATE_SCHEMA = "g string, s int, m array<double>, w array<double>, centre array<double>, logdet double"
+
+
+def _packed(batch: pa.RecordBatch, s: pa.Array, mean: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+    cov = cov + np.eye(DIM) * FLOOR**2
+    columns = [batch.column("g"), s, pa.array(mean.tolist()), pa.array(np.linalg.inv(cov).reshape(len(cov), -1).tolist()), pa.array(centre.tolist()), pa.array(np.linalg.slogdet(cov)[1])]
+    return pa.RecordBatch.from_arrays(columns, names=["g", "s", "m", "w", "centre", "logdet"])
+
+
+def _products(y: list[Column]) -> list[Column]:
+    return [F.sum(y[i] * y[j]) for i in range(DIM) for j in range(i, DIM)]
+
+
 def _estimates(moments: DataFrame) -> DataFrame:
     """Means and inverse covariances from counts, sums and sums of products around the start's centre."""
     factor = consistency(DIM, SHARE)
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, centre, s, p = _columns(batch, "n centre s p")
+                mean = s / n[:, None]
+                cov = _upper(p / n[:, None]) - mean[:, :, None] * mean[:, None, :]
+                yield _packed(batch, batch.column("s_"), mean + centre, cov * factor, centre)
+
+    return moments.mapInArrow(run, ESTIMATE_SCHEMA)
+
+
+def _starts(rows: DataFrame, groups: int) -> DataFrame:
+    """The estimates that concentration steps begin with, one of each kind of STARTS for each group of ``rows(g, X)``."""
+    long = rows.select("g", F.posexplode(F.array(*X)).alias("i", "x"))
+    median = cut(_binned_quantile(long, ["g", "i"], F.floor(F.col("x") / 0.01), 0.5, 0.01))
+    off = long.join(_send(median, groups * DIM), ["g", "i"]).withColumn("off", F.abs(F.col("x") - F.col("q")))
+    spread = _binned_quantile(off.select("g", "i", "off"), ["g", "i"], F.floor(F.col("off") / 0.01), 0.5, 0.01).withColumnRenamed("q", "mad")
+    both = median.join(spread, ["g", "i"]).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "q", (F.col("mad") * 1.4826).alias("scale")))).alias("a"))
+    centre = cut(both.select("g", F.col("a.q").alias("centre"), F.col("a.scale").alias("scale")))
+    joined = rows.join(_send(centre, groups), "g")
+    z = joined.select("g", "centre", "scale", *[((F.col(X[i]) - F.get("centre", F.lit(i))) / (F.get("scale", F.lit(i)) + FLOOR)).alias(f"z{i}") for i in range(DIM)])
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(1e-12)))
+    z = z.withColumn("size", size)
+    tanh, sign = [F.tanh(f"z{i}") for i in range(DIM)], [F.col(f"z{i}") / F.col("size") for i in range(DIM)]
+    sums = z.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("centre").alias("centre"), F.first("scale").alias("scale"), F.array(*map(F.sum, tanh)).alias("s"), F.array(*_products(tanh)).alias("p"), F.array(*_products(sign)).alias("u"))
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            stack = lambda c: np.array(batch.column(c).to_pylist(), float)  # noqa: B023, E731
-            n, centre, s, p = stack("n"), stack("centre"), stack("s"), stack("p")
+            n, centre, scale, s, p, u = _columns(batch, "n centre scale s p u")
             mean = s / n[:, None]
-            cov = np.zeros((len(n), DIM, DIM))
-            k = 0
-            for i in range(DIM):
-                for j in range(i, DIM):
-                    cov[:, i, j] = cov[:, j, i] = p[:, k] / n - mean[:, i] * mean[:, j]
-                    k += 1
-            inverse = np.linalg.inv(cov * factor + np.eye(DIM) * FLOOR**2)
-            columns = [batch.column("g"), pa.array((mean + centre).tolist()), pa.array(inverse.reshape(len(n), -1).tolist()), batch.column("centre")]
-            yield pa.RecordBatch.from_arrays(columns, names=["g", "m", "w", "centre"])
+            shapes = [np.broadcast_to(np.eye(DIM), (len(n), DIM, DIM)), _upper(p / n[:, None]) - mean[:, :, None] * mean[:, None, :], _upper(u / n[:, None])]
+            for k, shape in enumerate(shapes):
+                # Only the correlation is taken of the transformed values; a statistic that doesn't vary has none.
+                d = np.sqrt(np.maximum(np.diagonal(shape, axis1=1, axis2=2), 1e-12))
+                corr = 0.95 * shape / d[:, :, None] / d[:, None, :]
+                corr[:, np.arange(DIM), np.arange(DIM)] = 1
+                yield _packed(batch, pa.array([k] * len(n), pa.int32()), centre, corr * scale[:, :, None] * scale[:, None, :], centre)
 
-    return moments.mapInArrow(run, "g string, m array<double>, w array<double>, centre array<double>")
+    return sums.mapInArrow(run, ESTIMATE_SCHEMA)
+
+
+def concentrated(rows: DataFrame, groups: int) -> DataFrame:
+    """(g, m, w, logdet): the estimates that concentration steps end with for each group of ``rows(g, X)``."""
+    estimates = cut(_starts(rows, groups))
+    near = F.floor(F.log(F.col("d") + 1e-6) * 50)
+    before: dict[str, float] = {}
+    for step in range(MOST_STEPS):
+        sent = len(STARTS) * groups
+        measured = rows.join(_send(estimates, sent), "g").withColumn("d", _distance()).withColumn("near", near)
+        limit = _binned_quantile(measured.select("g", "s", "near"), ["g", "s"], F.col("near"), SHARE, 1.0).select("g", "s", F.col("q").alias("limit"))
+        inner = measured.join(_send(cut(limit), sent), ["g", "s"]).where("near <= limit")
+        y = [F.col(X[i]) - F.get("centre", F.lit(i)) for i in range(DIM)]
+        moments = inner.groupBy("g", F.col("s").alias("s_")).agg(F.count(F.lit(1)).alias("n"), F.first("centre").alias("centre"), F.array(*map(F.sum, y)).alias("s"), F.array(*_products(y)).alias("p"))
+        estimates = _estimates(moments)
+        if step + 1 == FIRST_STEPS:
+            least = F.min_by(F.struct("s", "m", "w", "centre", "logdet"), F.struct("logdet", "s")).alias("best")
+            estimates = estimates.groupBy("g").agg(least).select("g", "best.*")
+        estimates = cut(estimates)
+        if step + 1 < FIRST_STEPS:
+            continue
+        if groups > SENT_GROUPS:
+            now = {"": estimates.agg(F.sum("logdet")).first()[0] or 0.0}
+        else:
+            now = {r["g"]: r["logdet"] for r in estimates.select("g", "logdet").collect()}
+        if all(before.get(g, math.inf) - x < SETTLED for g, x in now.items()):
+            break
+        before = now
+    return estimates.select("g", "m", "w", "logdet")
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Estimates (own, m, w) for each group of ``docs(text, lang, source)``, and how many groups there are."""
+    """Estimates (own, m, w, logdet) for each group of ``docs(text, lang, source)``, and how many groups there are."""
     stats = with_statistics(docs, ["lang", "source"], X).select(_key("lang", "source").alias("own"), _key("lang").alias("lang"), *X)
     stats = cut(stats)
     sizes = cut(stats.groupBy("own", "lang").agg(F.count(F.lit(1)).alias("n")))
@@ -192,33 +266,18 @@ def fit(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = stats.select(F.col("own").alias("g"), *X).join(_send(levels.where("uses = own").select(F.col("own").alias("g")), groups), "g", "left_semi")
     if needed is None or needed:
         rows = rows.union(stats.select(F.explode(F.array("lang", F.lit("all"))).alias("g"), *X).join(_send(pooled, groups), "g", "left_semi").select("g", *X))
-    # The start: medians, then median deviations.
-    long = rows.select("g", F.posexplode(F.array(*X)).alias("i", "x"))
-    median = cut(_binned_quantile(long, ["g", "i"], F.floor(F.col("x") / 0.01), 0.5, 0.01))
-    off = long.join(_send(median, groups * DIM), ["g", "i"]).withColumn("off", F.abs(F.col("x") - F.col("q")))
-    spread = _binned_quantile(off.select("g", "i", "off"), ["g", "i"], F.floor(F.col("off") / 0.01), 0.5, 0.01).withColumnRenamed("q", "mad")
-    scale = 1 / F.pow(F.col("mad") * 1.4826 + FLOOR, F.lit(2.0))
-    start = median.join(spread, ["g", "i"]).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "q", scale.alias("v")))).alias("a"))
-    diagonal = F.array(*[F.get("a", F.lit(i))["v"] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
-    estimates = cut(start.select("g", F.col("a.q").alias("m"), diagonal.alias("w"), F.col("a.q").alias("centre")))
-    near = F.floor(F.log(F.col("d") + 1e-6) * 50)
-    for _ in range(STEPS):
-        measured = rows.join(_send(estimates, 3 * groups), "g").withColumn("d", _distance()).withColumn("near", near)
-        limit = _binned_quantile(measured.select("g", "near"), ["g"], F.col("near"), SHARE, 1.0).select("g", F.col("q").alias("limit"))
-        inner = measured.join(_send(cut(limit), 3 * groups), "g").where("near <= limit")
-        y = [F.col(X[i]) - F.get("centre", F.lit(i)) for i in range(DIM)]
-        products = [F.sum(y[i] * y[j]) for i in range(DIM) for j in range(i, DIM)]
-        moments = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("centre").alias("centre"), F.array(*map(F.sum, y)).alias("s"), F.array(*products).alias("p"))
-        estimates = cut(_estimates(moments))
-    return levels.join(estimates.select(F.col("g").alias("uses"), "m", "w"), "uses").select("own", "m", "w"), groups
+    found = concentrated(rows, groups)
+    return levels.join(found.withColumnRenamed("g", "uses"), "uses").select("own", "m", "w", "logdet"), groups
 
 
 def with_distance(docs: DataFrame, name: str = "distance") -> DataFrame:
     """``docs`` with every column and the squared robust distance of each text from its language and source.
 
     Defined results: null and blank texts have no evidence of anything and get the distance of a text with all shares at
-    their usual rates; a null language or source is a group like any other; the distance is null where fewer than
-    ``LEAST`` documents exist to compare with; columns with clashing names are kept, except that ``name`` is replaced.
+    their usual rates; very long texts are taken whole; a null language or source is a group like any other; repeated rows
+    count and are given each; of starts with equal determinants the first in STARTS counts; the distance is null where fewer
+    than ``LEAST`` documents exist in all; columns with clashing names are kept, except that ``name`` is replaced; an empty
+    table gives an empty result.
     """
     estimates, groups = fit(docs)
     carry = [c for c in docs.columns if c.lower() != name.lower()]
