@@ -323,12 +323,12 @@ def _lists(ids: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Arra
 
 
 def encode(df: DataFrame, column: str = "text", into: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """``df`` with the ids of ``column`` as an array<int> column ``into`` (an existing one of that name is replaced).
+    """``df`` with the ids of ``column`` as an array<int> column ``into`` (an existing one of that name, in any case, is replaced).
 
     Defined results: a null text has null ids, an empty one an empty array; texts of any length are encoded whole; every
     other column and row is kept as it is.
     """
-    others = [f for f in df.schema.fields if f.name != into]
+    others = [f for f in df.schema.fields if f.name.lower() != into.lower()]
     schema = T.StructType([*others, T.StructField(into, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in schema.fields]
 
@@ -354,12 +354,12 @@ def _texts(data: np.ndarray, ends: np.ndarray, missing: np.ndarray) -> pa.Array:
 
 
 def decode(df: DataFrame, column: str = "ids", into: str = "decoded", path: str = VOCABULARY) -> DataFrame:
-    """``df`` with the text that the ids of ``column`` stand for as ``into`` (an existing one of that name is replaced).
+    """``df`` with the text that the ids of ``column`` stand for as ``into`` (an existing one of that name, in any case, is replaced).
 
     Defined results: null ids give a null text, an empty array an empty one; ids that aren't in the vocabulary raise an
     error; bytes that aren't valid UTF-8 (ids cut within a character) become U+FFFD.
     """
-    others = [f for f in df.schema.fields if f.name != into]
+    others = [f for f in df.schema.fields if f.name.lower() != into.lower()]
     schema = T.StructType([*others, T.StructField(into, T.StringType())])
     names = [f.name for f in schema.fields]
 
@@ -383,7 +383,7 @@ def encode_and_decode(df: DataFrame, column: str = "text", ids: str = "ids", dec
 
     Results are defined as those of encode and decode; existing columns of the new names are replaced.
     """
-    others = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    others = [f for f in df.schema.fields if f.name.lower() not in (ids.lower(), decoded.lower())]
     schema = T.StructType([*others, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
     names = [f.name for f in schema.fields]
 

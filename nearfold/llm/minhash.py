@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.llm import textkernel as tk
-from nearfold.llm.frames import connected_components, cut, keep_candidates, verified_edges, with_leader
+from nearfold.llm.frames import connected_components, cut, keep_candidates, unused, verified_edges, with_leader
 
 UNIVERSE = 1 << 20
 SIGNATURE_SCHEMA = "doc_id long, h1 long, h2 long, bands array<long>"
@@ -186,8 +186,9 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     Rows that share a kept doc_id are copies as well: the one with the least text (then the least other columns, compared
     as JSON) stays, null last.  Rows with a null doc_id stay all.
     """
-    removed = near_duplicates(docs.select("doc_id", "text"), **parameters).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    rest = docs.join(removed, docs["doc_id"] == removed["__gone"], "left_anti")
+    gone, nth = unused("__gone", docs.columns), unused("__nth", docs.columns)
+    removed = near_duplicates(docs.select("doc_id", "text"), **parameters).where("NOT kept").select(F.col("doc_id").alias(gone))
+    rest = docs.join(removed, docs["doc_id"] == removed[gone], "left_anti")
     order = [F.col("text").asc_nulls_last(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("x")]))]
-    kept = rest.where("doc_id IS NOT NULL").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("__nth = 1").drop("__nth")
+    kept = rest.where("doc_id IS NOT NULL").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(rest.where("doc_id IS NULL"))

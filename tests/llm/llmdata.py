@@ -2,7 +2,7 @@
 
 import random
 
-CLASHES = "group_id kept bands rep node label bucket ids decoded shard position spans distance own m w start item_id a b x y h1 h2 leader block g d".split()
+CLASHES = "group_id kept bands rep node label bucket ids decoded shard position spans distance own m w start item_id a b x y h1 h2 leader block g d __nth __gone __b __p __rest __hash".split()
 
 
 def words(rng, n, size=400):

@@ -124,4 +124,10 @@ def test_stages_keep_the_columns(spark, odd, none):
             out = stage(spark, table, "/root/testdata/sf0.001")
             assert out.columns == table.columns, name
             assert out.count() <= table.count()
+    # The last stage adds the ids and the text they stand for; columns of these names are replaced.
+    for table in (odd, none):
+        out = corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001")
+        keep = [c for c in table.columns if c not in ("ids", "decoded")]
+        assert set(keep) < set(out.columns) and rows_of(out.select(*[f"`{c}`" for c in keep])) == rows_of(table.select(*[f"`{c}`" for c in keep]))
+        assert out.where("NOT text <=> decoded").count() == 0
     assert set(CLASHES) <= set(odd.columns)
