@@ -32,7 +32,7 @@ DIM = 5
 SHARE = 0.75
 SHRINK = 50
 #: Concentration steps from every start, and the most steps in all; they end when no logarithm of a determinant falls by SETTLED.
-FIRST_STEPS, MOST_STEPS, SETTLED = 2, 40, 1e-3
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 12, 0.02
 STARTS = ("none", "tanh", "sign")
 #: The least deviation that counts, on the logit scale: added to every estimate's spread.
 FLOOR = 0.15
