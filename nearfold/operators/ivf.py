@@ -19,7 +19,7 @@ from nearfold.functions import expressions as X
 from nearfold.operators import kmeans
 from nearfold.operators.knn import SENT_BYTES, check_k, sent, top_k
 from nearfold.operators.scoring import running_offsets
-from nearfold.session import ship
+from nearfold.session import ship, stored
 from nearfold.sources.files import read_binary_index, write_binary_index
 
 PROBES = 8
@@ -84,6 +84,10 @@ class Index:
     def vectors(self, part_id: int) -> DataFrame:
         return self.lists.where(F.col("part_id") == part_id).select("vec_id", "levels", X.label_text(F.col("label")).alias("label"))
 
+    def settled(self) -> Index:
+        """The same index, written to the shared folder once, so that searches read it and don't build it again."""
+        return Index(stored(self.centroids, "centroids"), stored(self.lists, "lists"), self.dims)
+
     def cache(self) -> Index:
         self.centroids.cache()
         self.lists.cache()

@@ -47,14 +47,16 @@ def held_centroids(centroids: DataFrame, dims: int, number: str = "c_id") -> tup
 def evenly_spaced(points: DataFrame, k: int) -> DataFrame:
     """(c_id, centroid): the points at places floor(i n / k) by vec_id, for reproducible starts.
 
-    Identifiers are counted in bins and not sorted; the k vectors are fetched by a semi-join.
+    Identifiers are counted in bins and not sorted; the k vectors are fetched by a semi-join and, being a bounded table, go
+    through the driver, so that what comes after doesn't search for them again.
     """
     n = points.count()
     if n == 0:
         raise ValueError("no points")
     places = sorted({i * n // k for i in range(k)})
     chosen = values_at(points.select("vec_id"), "vec_id", [], lambda _: [F.lit(p) for p in places]).select(F.col("value").alias("vec_id"), F.col("nth").alias("c_id"))
-    return points.join(F.broadcast(chosen), "vec_id").select("c_id", F.col("vector").cast("array<double>").alias("centroid"))
+    rows = points.join(F.broadcast(chosen), "vec_id").select("c_id", F.col("vector").cast("array<double>").alias("centroid")).collect()
+    return centroid_frame(points.sparkSession, [r["centroid"] for r in sorted(rows, key=lambda r: r["c_id"])])
 
 
 def sample_start(points: DataFrame, k: int, seed: int) -> DataFrame:

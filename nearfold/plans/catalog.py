@@ -194,7 +194,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> ivf.Index:
-    return ivf.build(split(spark, sf_dir)[1], seeds(spark, sf_dir), DIMS)
+    return ivf.build(split(spark, sf_dir)[1], seeds(spark, sf_dir), DIMS).settled()
 
 
 SEEDS_SQL = f"""n AS (SELECT count(*) AS n FROM r), ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM r),
@@ -309,11 +309,11 @@ SELECT q_id, coalesce(fraud_score, 0.0) AS fraud_score, coalesce(approved, true)
 def engine_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON requests through the engine: every third is cut off and gets the safe default."""
     references = stored(seed_labels(spark, sf_dir), "references")
-    made = ivf.build(references, kmeans.evenly_spaced(references, PARTS), 14)
+    made = ivf.build(references, kmeans.evenly_spaced(references, PARTS), 14).settled()
     p = payloads(spark, sf_dir).where("q_id % 250 = 0")
     text = F.to_json(F.struct(*[c for c in p.columns if c != "q_id"]))
     ship(spark)
-    requests = p.select("q_id", F.when(F.col("q_id") % 3 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"))
+    requests = stored(p.select("q_id", F.when(F.col("q_id") % 3 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value")), "requests")
     return Engine(made, CONFIG, risks(spark), K, PARTS, strategy="blocks").prime().respond(requests)
 
 
