@@ -43,7 +43,7 @@ LONG = 48
 COORDINATES = 2
 #: Samples of coordinates that are taken of each walk, and simulated windows for each length of item.
 SAMPLES, TRIALS = 4, 300
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.99
 #: Cells of arrays that are worked on at once.
 CELLS = 1 << 18
 FOUND_SCHEMA = "doc_id long, item_id long, start long, n_words long, edits long"
