@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from nearfold.session import cut, new_folder, stored
 
-__all__ = ["IdFilter", "connected_components", "cut", "keep_candidates", "new_folder", "row_bytes", "stored", "unused", "verified_edges", "with_leader", "with_owned_leader"]
+__all__ = ["IdFilter", "connected_components", "cut", "keep_candidates", "new_folder", "packed", "row_bytes", "stored", "unused", "verified_edges", "whole_groups", "with_leader", "with_owned_leader"]
 
 #: Largest number of bits of an identifier filter (16 MB); with more identifiers it only lets more rows through.
 FILTER_BITS = 1 << 27
@@ -150,66 +150,115 @@ def _owned(bucket: np.ndarray, node: np.ndarray, owners: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], names=["bucket", "node", "leader", "owners", "leads"]) if ok.any() else None
 
 
+#: Bytes of the rows that with_owned_leader sorts at a time.
+PART_BYTES = 8 << 20
+
+
+def packed(bucket: np.ndarray, node: np.ndarray, owners: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, rows) of the rows' bytes for each of ``parts`` ranges of buckets: a few long rows to move for very many short ones."""
+    part = ((bucket.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    rows = np.stack([x.view(np.int64)[order] for x in (bucket, node, owners)], axis=1)
+    own, at = np.unique(part[order], return_index=True)
+    ends = pa.py_buffer((24 * np.append(at, len(rows))).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(own), [None, ends, pa.py_buffer(rows)])], names=["part", "rows"])
+
+
+def _whole_part(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+    """See with_owned_leader, for all rows of a range of buckets."""
+    bucket, node, owners = np.concatenate(rows).T
+    order = np.argsort(bucket)
+    same = np.diff(bucket[order]) == 0
+    # Most buckets have one row.
+    order = order[np.append(same, False) | np.append(False, same)]
+    if not len(order):
+        return None
+    order = order[np.lexsort((node[order], bucket[order]))]
+    return _owned(bucket[order], node[order], owners[order])
+
+
 def with_owned_leader(rows: DataFrame) -> DataFrame:
     """As with_leader, for rows (bucket, node, owners), with the ``owners`` of each node and those of the leader as ``leads``.
 
     owners is a sum of hashes of a node's owners; a node may have several rows, whose sums are added.  Buckets of which all
-    nodes have the same owners are dropped.  Rows come sorted by bucket (Spark spills what doesn't fit), and one bucket is
-    looked at at a time.
+    nodes have the same owners are dropped.  Rows may be given as ``packed`` has them; a range of buckets is looked at at a
+    time, and Spark, which sorts the ranges, spills what doesn't fit.
     """
+    if "bucket" in rows.columns:
+
+        def pack(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield packed(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "node", "owners")), 1)
+
+        rows = rows.mapInArrow(pack, "part int, rows binary")
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for part, row in zip(batch.column("part").to_pylist(), batch.column("rows")):
+                if part != last and held:
+                    if (made := _whole_part(held)) is not None:
+                        yield made
+                    held = []
+                last = part
+                # A copy, so that no batch is kept for a part of it.
+                held.append(np.frombuffer(row.as_buffer(), np.int64).reshape(-1, 3).copy())
+        if held and (made := _whole_part(held)) is not None:
+            yield made
+
+    in_order = rows.repartition("part").sortWithinPartitions("part")
+    return stored(in_order.mapInArrow(run, "bucket long, node long, leader long, owners long, leads long"), "members")
+
+
+def whole_groups(df: DataFrame, column: str, found: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``found`` makes of the rows of ``df``, which it is given sorted by ``column``, rows of equal values always together."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "node", "owners")]
-            bucket = columns[0]
-            # The last bucket may go on in the next batch.
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut or (held and held[0][0][0] != bucket[0]):
-                whole = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])]
+            of = batch.column(column).to_numpy(zero_copy_only=False)
+            # The last group may go on in the next batch.
+            cut = int(np.searchsorted(of, of[-1]))
+            if cut or (held and held[0].column(column)[0].as_py() != of[0]):
+                yield found(pa.concat_batches([*held, batch.slice(0, cut)]))
                 held = []
-                if (made := _owned(*whole)) is not None:
-                    yield made
-            held.append([c[cut:] for c in columns])
-        if held and (made := _owned(*(np.concatenate(x) for x in zip(*held)))) is not None:
-            yield made
+            held.append(batch.slice(cut))
+        if held:
+            yield found(pa.concat_batches(held))
 
-    in_order = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return stored(in_order.mapInArrow(run, "bucket long, node long, leader long, owners long, leads long"), "members")
+    return df.repartition(column).sortWithinPartitions(column).mapInArrow(run, schema)
 
 
-def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: list[str] | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+def verified_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: list[str] | None = None, alike: Column | None = None, pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) with the same components as all pairs (a, b) of nodes that share a bucket and that ``verify`` keeps.
 
     members: (bucket, node, leader) as with_leader gives them, of buckets with more than one node.  Each node is checked against its bucket's leader,
     which is linear.  Every pair of a bucket whose nodes aren't in one component by then is checked as well; a pair within
     a component can't change the components.  No bucket or pair is left out, but for pairs with the same ``owners`` if
-    members have them, and pairs of which a sketch already shows that verify won't keep them: alike(p, q) is the condition
-    on the columns ``sketch`` of nodes that two aliases name; the leader's have the prefix ``leader_``.
+    members have them, and pairs of which the columns ``sketch`` already show that verify won't keep them: alike is the
+    condition on a member and its leader, and pairs gives the (a, b) of rows (bucket, node, owners, label and the sketch)
+    that share a bucket, differ in owners and label and meet it; without it all pairs are formed.
     """
     owned, sketch = "owners" in members.columns, sketch or []
     star = members.where("node != leader" + " AND owners != leads" * owned)
     if alike is not None:
-        star = star.where(alike("", "leader_"))
+        star = star.where(alike)
     found = stored(verify(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "edges")
     labels = connected_components(found).withColumnRenamed("node", "named")
-    of_bucket = Window.partitionBy("bucket")
-    apart = (
-        members.join(labels, members.node == labels.named, "left")
-        .select("bucket", "node", "leader", *["owners"] * owned, *sketch, F.coalesce("label", "node").alias("label"))
-        .withColumn("lo", F.min("label").over(of_bucket))
-        .withColumn("hi", F.max("label").over(of_bucket))
-        .where("lo != hi AND node != leader")
-        .select("bucket", "node", *["owners"] * owned, *sketch, "label")
-    )
-    apart = stored(apart, "apart")
-    p, q = apart.alias("p"), apart.alias("q")
-    other = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
-    if owned:
-        other &= F.col("p.owners") != F.col("q.owners")
-    if alike is not None:
-        other &= alike("p.", "q.")
-    rest = p.join(q, other)
-    return found.union(stored(verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()), "edges"))
+    named = members.join(labels, members.node == labels.named, "left").select("bucket", "node", "leader", *["owners"] * owned, *sketch, F.coalesce("label", "node").alias("label"))
+    if pairs is not None:
+        rest = pairs(named.where("node != leader").drop("leader"))
+    else:
+        of_bucket = Window.partitionBy("bucket")
+        apart = named.withColumn("lo", F.min("label").over(of_bucket)).withColumn("hi", F.max("label").over(of_bucket))
+        apart = stored(apart.where("lo != hi AND node != leader").select("bucket", "node", *["owners"] * owned, "label"), "apart")
+        p, q = apart.alias("p"), apart.alias("q")
+        other = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
+        if owned:
+            other &= F.col("p.owners") != F.col("q.owners")
+        rest = p.join(q, other).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    return found.union(stored(verify(rest.distinct()), "edges"))

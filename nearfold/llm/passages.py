@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.llm import textkernel as tk
-from nearfold.llm.frames import IdFilter, connected_components, stored, verified_edges, with_owned_leader
+from nearfold.llm.frames import PART_BYTES, IdFilter, connected_components, packed, stored, verified_edges, whole_groups, with_owned_leader
 from nearfold.llm.minhash import jaccard_counts
 
 BLOCK, REACH, GRAM, SHINGLE = 24, 24, 4, 3
@@ -38,6 +38,8 @@ BANDS, ROWS = 6, 2
 LEAST = 45
 #: Blocks that a task holds before it hands over their bands, each block once.
 HELD = 200_000
+#: Members of a bucket beyond which they are compared by equal pieces of their sketches.
+LARGE = 64
 #: What a differing word costs against an equal one when a passage's end is moved outwards.
 DIFFERENT = 2
 PLACE_SCHEMA = "node long, doc_id long, start int"
@@ -157,8 +159,8 @@ def places(docs: DataFrame) -> DataFrame:
     return scan(docs, PLACE_SCHEMA, found)
 
 
-def band_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """(bucket, node, owners): the bands of every block, and the sum of hashes of the documents that the task saw it in.
+def band_rows(docs: DataFrame, seed: int, parts: int) -> DataFrame:
+    """(bucket, node, owners), packed: the bands of every block, and the sum of hashes of the documents that the task saw it in.
 
     A task gives a block once for each ``HELD`` that it holds, so that copies without number don't crowd their buckets.
     """
@@ -183,12 +185,11 @@ def band_rows(docs: DataFrame, seed: int) -> DataFrame:
             each = tk.mix(doc.view(np.uint64)) * (new | np.concatenate([[True], doc[1:] != doc[:-1]])).astype(np.uint64)
             at = np.flatnonzero(new)
             owners = tk.to_long(np.add.reduceat(each, at))
-            columns = [pa.array(tk.to_long(bands[at].reshape(-1))), pa.array(np.repeat(tk.to_long(node[at]), BANDS)), pa.array(np.repeat(owners, BANDS))]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "owners"])
+            return packed(bands[at].reshape(-1), np.repeat(node[at], BANDS), np.repeat(owners, BANDS), parts)
 
         return make
 
-    return scan(docs, "bucket long, node long, owners long", found)
+    return scan(docs, "part int, rows binary", found)
 
 
 def block_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def verify(pairs: DataFrame, text: DataFrame, threshold: tuple[int, int]) -> Dat
 
 
 def sketches(text: DataFrame) -> DataFrame:
-    """(node, s0, s1): of each block 128 bits, of which each of its shingles sets one."""
+    """(node, s0, s1, n): of each block 128 bits, of which each of its shingles sets one, and the number of its shingles."""
 
     def run(batches):
         for batch in batches:
@@ -249,25 +250,94 @@ def sketches(text: DataFrame) -> DataFrame:
                 out = np.zeros((batch.num_rows, 2), np.uint64)
                 bit = shingle >> np.uint64(57)
                 np.bitwise_or.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(tk.to_long(np.ascontiguousarray(out[:, k]))) for k in (0, 1))], names=["node", "s0", "s1"])
+                order = np.lexsort((shingle, row))
+                shingle, row = shingle[order], row[order]
+                new = np.append(True, (shingle[1:] != shingle[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+                n = np.bincount(row[new], minlength=batch.num_rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(tk.to_long(np.ascontiguousarray(out[:, k]))) for k in (0, 1)), pa.array(n)], names=["node", "s0", "s1", "n"])
 
-    return text.select("node", "block").mapInArrow(run, "node long, s0 long, s1 long")
+    return text.select("node", "block").mapInArrow(run, "node long, s0 long, s1 long, n int")
 
 
-def near_edges(docs: DataFrame, threshold: tuple[int, int], seed: int) -> DataFrame:
+def neighbours(group: np.ndarray):
+    """The places (i, j), i before j, of all pairs of equal values of ``group``, in which equal values are together."""
+    i, k = np.arange(len(group)), 1
+    while len(i):
+        i = i[i + k < len(group)]
+        i = i[group[i] == group[i + k]]
+        yield i, i + k
+        k += 1
+
+
+def alike_places(group: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, threshold: tuple[int, int], differ: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j) of all pairs of a group whose sketches are alike (see near_edges) and that differ in each column of ``differ``.
+
+    Alike sketches differ in fewer bits than a large group is cut into pieces of, so one piece is equal: only members
+    with an equal piece are compared, in the first piece that they share.
+    """
+    less, more = threshold[1] - threshold[0], threshold[1] + threshold[0]
+    half = less * 2 * (BLOCK - SHINGLE + 1) // more // 2 + 1
+    # bitwise_count takes the absolute value of signed numbers.
+    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+    _, of, size = np.unique(group, return_inverse=True, return_counts=True)
+    large = np.flatnonzero(size[of] > LARGE)
+    found = []
+
+    def look(rows: np.ndarray, own: np.ndarray, pieces: list[np.ndarray]):
+        for i, j in neighbours(own):
+            i, j = rows[i], rows[j]
+            ok = (np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])) * more <= less * (n[i].astype(np.int64) + n[j])
+            i, j = i[ok], j[ok]
+            ok = np.ones(len(i), bool)
+            for x in (*differ, *pieces):
+                ok &= x[i] != x[j]
+            found.append((i[ok], j[ok]))
+
+    small = np.flatnonzero(size[of] <= LARGE)
+    small = small[np.argsort(of[small], kind="stable")]
+    look(small, of[small], [])
+    if len(large):
+        before: list[np.ndarray] = []
+        for s in (s0, s1):
+            for k in range(half):
+                low, high = 64 * k // half, 64 * (k + 1) // half
+                piece = (s >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+                rows = large[np.lexsort((piece[large], of[large]))]
+                new = np.append(True, (piece[rows[1:]] != piece[rows[:-1]]) | (of[rows[1:]] != of[rows[:-1]]))
+                look(rows, np.cumsum(new), before)
+                before = [*before, piece]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def alike_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): the pairs of verified_edges, for rows (bucket, node, owners, s0, s1, n, label)."""
+
+    def found(batch):
+        bucket, node, s0, s1, n, *differ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "node", "s0", "s1", "n", "owners", "label"))
+        i, j = alike_places(bucket, s0, s1, n, threshold, differ)
+        # A pair that several buckets of the task have is given once.
+        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return whole_groups(rows.select("bucket", "node", "owners", "s0", "s1", "n", "label"), "bucket", found, "a long, b long")
+
+
+def near_edges(docs: DataFrame, threshold: tuple[int, int], seed: int, count: int | None = None) -> DataFrame:
     """(a, b): edges between blocks whose components are those of all colliding pairs of similar blocks.
 
-    A block has at most BLOCK - 2 shingles, so those of two similar blocks that only one of them has are few, and a bit
-    that only one sketch has shows such a shingle: pairs with more such bits can't be similar and aren't formed.
+    Of two blocks with p and q shingles and a similarity of t or more at most (1 - t) / (1 + t) * (p + q) shingles are in
+    one of them only, and a bit that only one sketch has shows such a shingle: pairs with more such bits can't be similar
+    and aren't formed.  count: the number of blocks, if it is known.
     """
-    members = with_owned_leader(band_rows(docs, seed))
+    count = places(docs).count() if count is None else count
+    members = with_owned_leader(band_rows(docs, seed, count * BANDS * 24 // PART_BYTES + 1))
     text = stored(block_texts(docs, members.select("node").distinct()), "block-texts")
     sketch = stored(sketches(text), "sketches")
-    of_leader = sketch.select(F.col("node").alias("leader"), F.col("s0").alias("leader_s0"), F.col("s1").alias("leader_s1"))
+    own = ["s0", "s1", "n"]
+    of_leader = sketch.select(F.col("node").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in own])
     members = stored(members.join(sketch, "node").join(of_leader, "leader"), "sketched")
-    most = (BLOCK - SHINGLE + 1) * (threshold[1] - threshold[0]) // threshold[0]
-    alike = lambda p, q: F.expr(f"bit_count({p}s0 ^ {q}s0) + bit_count({p}s1 ^ {q}s1) <= {most}")
-    return verified_edges(members, lambda pairs: verify(pairs, text, threshold), ["s0", "s1"], alike)
+    alike = F.expr(f"(bit_count(s0 ^ leader_s0) + bit_count(s1 ^ leader_s1)) * {threshold[1] + threshold[0]} <= {threshold[1] - threshold[0]} * (n + leader_n)")
+    return verified_edges(members, lambda pairs: verify(pairs, text, threshold), own, alike, lambda rows: alike_pairs(rows, threshold))
 
 
 def contexts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -343,7 +413,7 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = (7, 10), least: int =
     rows give the same passages, once); other columns are ignored; an empty table gives an empty result.
     """
     blocks = stored(places(docs), "blocks")
-    labels = stored(connected_components(near_edges(docs, threshold, seed)), "labels")
+    labels = stored(connected_components(near_edges(docs, threshold, seed, blocks.count())), "labels")
     counted = blocks.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("node")
     wanted = stored(counted.union(labels.select("node")).distinct(), "repeated")
     held = IdFilter(wanted, "node")

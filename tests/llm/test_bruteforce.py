@@ -403,6 +403,32 @@ def test_sketches_let_every_similar_pair_through(spark):
     assert len(near) > 30 and all(bits(a, b) <= 9 for a, b in near)
 
 
+def test_alike_places_against_all_pairs(monkeypatch):
+    """Buckets of a few and of very many blocks: every pair of a bucket whose sketches are alike, and few others looked at."""
+    rng = random.Random(24)
+    sets = [frozenset(rng.sample(range(600), rng.choice([1, 3, 22, 22, 22]))) for _ in range(900)]
+    sets += [frozenset(rng.sample(sorted(s), len(s) - len(s) // 10)) | {rng.randrange(600)} for s in sets]
+    rng.shuffle(sets)
+    bit = {x: rng.randrange(128) for x in range(600)}
+    whole = [sum(1 << b for b in {bit[x] for x in s}) for s in sets]
+    s0, s1 = (np.array([w >> k & (1 << 64) - 1 for w in whole], np.uint64).view(np.int64) for k in (0, 64))
+    group = np.array([0 if k < 1500 else 1 + (k - 1500) // 7 for k in range(1800)], np.int64)
+    n, owners = np.array([len(s) for s in sets], np.int32), np.array([rng.randrange(9) for _ in sets], np.int64)
+    looked, plain = [], passages.neighbours
+    monkeypatch.setattr(passages, "neighbours", lambda g: ((looked.append(len(i)), (i, j))[1] for i, j in plain(g)))
+    i, j = passages.alike_places(group, s0, s1, n, (7, 10), [owners])
+    same = [(a, b) for a, b in itertools.combinations(range(1800), 2) if group[a] == group[b] and owners[a] != owners[b]]
+    got = [(min(p), max(p)) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, b in same if 17 * (whole[a] ^ whole[b]).bit_count() <= 3 * (len(sets[a]) + len(sets[b]))}
+    near = {(a, b) for a, b in same if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    assert len(near) > 200 and near <= set(got)
+    full = np.flatnonzero((group == 0) & (n > 20))
+    looked.clear()
+    passages.alike_places(group[full], s0[full], s1[full], n[full], (7, 10), [])
+    assert sum(looked) < len(full) * (len(full) - 1) / 2 / 8
+
+
 def test_anchors_cover_every_window():
     rng = random.Random(9)
     data, offsets = tk.text_buffer(pa.array([text(rng, 900, 300), text(rng, 27), text(rng, 20), "x " * 300]))
